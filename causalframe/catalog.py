@@ -1,0 +1,4 @@
+"""Named queries over the driver's tables, and the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
