@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from causalframe.llm.html import op2_html
 from causalframe.llm.simhash import op1_simhash
+from causalframe.llm.tokens import op9_tokens
+from causalframe.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_html": op2_html,
+    "op9_tokens": op9_tokens,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
