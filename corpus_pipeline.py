@@ -1,9 +1,54 @@
-"""The corpus pipeline; stages are added as their operators are."""
+"""The corpus pipeline: documents to token files, in five stages.
 
+Each stage is (name, function of (spark, docs, sf_dir)); what one returns is written as Parquet and read again as the
+docs of the next. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from causalframe.llm.decontam import decontaminated
+from causalframe.llm.mixing import mixed
+from causalframe.llm.scratch import table, written
+from causalframe.llm.simhash import first_of_groups
+from causalframe.llm.tokens import read_tokens, tokenizer_path, write_tokens
+from causalframe.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays, that of the least doc_id."""
+    return first_of_groups(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out or repeated so that sources have their target numbers of words."""
+    return mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mix, written to files and read back: doc_id, start, n_tokens, ids_crc32 of each document."""
+    return read_tokens(*write_tokens(docs, tokenizer_path()))
+
+
+STAGES = [("toxicity", toxicity), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
+
+#: No SQL: toxicity is learnt, and tokens come from a tokenizer's file. Tests set each stage against a plain version.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
