@@ -110,8 +110,8 @@ union all select 'spam', substring(host, instr(host, '.') + 1), timestamp '2024-
 OP6_SQL = r"""
 with h as (select distinct lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) as host from pages where url is not null),
 k as (select host, cast(concat('0x', substr(md5(host), 1, 6)) as bigint) as x from h where host != ''),
-e as (select distinct list, lower(pattern) as pattern, at, action from (
-select 'adult' as list, host as pattern, timestamp '2024-01-01 00:00:00' + to_days(cast(x % 300 as int)) as at, 'add' as action from k where x % 3 = 0
+e as (select distinct list, lower(pattern) as pattern, since, action from (
+select 'adult' as list, host as pattern, timestamp '2024-01-01 00:00:00' + to_days(cast(x % 300 as int)) as since, 'add' as action from k where x % 3 = 0
 union all select 'adult', host, timestamp '2024-01-01 00:00:00' + to_days(cast(x % 300 + 90 as int)), 'remove' from k where x % 3 = 0 and x % 2 = 0
 union all select 'spam', concat(host, '/en'), timestamp '2024-01-01 00:00:00' + to_days(cast(x % 200 as int)), 'add' from k where x % 4 = 1
 union all select 'allow', concat(host, '/en'), timestamp '2024-03-01 00:00:00', 'add' from k where x % 6 = 0
@@ -119,7 +119,7 @@ union all select 'spam', substring(host, instr(host, '.') + 1), timestamp '2024-
 union all select 'spam', substring(host, instr(host, '.') + 1), timestamp '2024-09-01 00:00:00', 'remove' from k where x % 11 = 5)),
 c as (select page_id, url, timestamp '2024-01-01 00:00:00' + to_days(cast(page_id % 366 as int)) as fetched_at, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) as host,
 regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path from pages),
-m as (select c.page_id, e.list, e.pattern, arg_max(e.action, (e.at, e.action)) as last from c join e on e.at <= c.fetched_at and c.host != ''
+m as (select c.page_id, e.list, e.pattern, arg_max(e.action, (e.since, e.action)) as last from c join e on e.since <= c.fetched_at and c.host != ''
 and (c.host = split_part(e.pattern, '/', 1) or ends_with(c.host, concat('.', split_part(e.pattern, '/', 1))))
 and (not contains(e.pattern, '/') or starts_with(concat(c.path, '/'), concat(substring(e.pattern, instr(e.pattern, '/')), '/')))
 group by c.page_id, e.list, e.pattern),
