@@ -6,7 +6,7 @@ grouped step a level for all trees at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalframe.functions.hashing import leaf
@@ -22,38 +22,45 @@ def leaves(rows: DataFrame, by: str = "tree") -> DataFrame:
     return placed.join(counts, by).select(by, "i", "n", "key", "hash")
 
 
-def nodes(found: DataFrame, by: str = "tree") -> DataFrame:
-    """tree, depth, lo, hi, hash of every node; [lo, hi) are the places of its leaves. found: the result of leaves()."""
-    low, high = F.col("lo"), F.col("hi")
-    middle = F.col("lo") + F.expr("(hi - lo) div 2")
+def _interval(place: Column, n: Column, depth: int) -> Column:
+    """struct(lo, hi): the leaves of the node at depth that holds a place of a tree of n leaves."""
+    whole = F.struct(F.lit(0).cast("long").alias("lo"), n.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = s["lo"] + F.floor((s["hi"] - s["lo"]) / 2)
+        left = F.struct(s["lo"].alias("lo"), middle.alias("hi"))
+        right = F.struct(middle.alias("lo"), s["hi"].alias("hi"))
+        return F.when(s["hi"] - s["lo"] <= 1, s).when(place < middle, left).otherwise(right)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), whole, halve) if depth else whole
+
+
+def _levels(found: DataFrame, by: str) -> list[DataFrame]:
+    """From the leaves up to the roots: by, n, lo, hi, hash. A level is one grouped step; nodes of one leaf pass through."""
     most = found.agg(F.max("n")).first()[0] or 0
-    depth = max(0, (most - 1).bit_length())
-    paths = [found.select(by, "i", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"), "hash")]
-    for _ in range(depth):
-        p = paths[-1]
-        single = high - low <= 1
-        left = F.col("i") < middle
-        paths.append(p.select(by, "i", F.when(single | left, low).otherwise(middle).alias("lo"), F.when(single | ~left, high).otherwise(middle).alias("hi"), "hash"))
-    # A leaf's own node is at the depth where its interval is one wide; deeper levels repeat it and are dropped.
-    level = paths[-1].select(by, "lo", "hi", "hash")
-    out = [level.select(by, F.lit(depth).alias("depth"), "lo", "hi", "hash")]
-    for d in range(depth - 1, -1, -1):
-        up = paths[d].select(by, F.col("i"), F.col("lo").alias("plo"), F.col("hi").alias("phi"))
-        child = level.join(up, (level[by] == up[by]) & (level["lo"] == up["i"])).select(level[by], "plo", "phi", "lo", "hi", "hash")
-        pairs = child.groupBy(by, "plo", "phi").agg(F.min_by("hash", "lo").alias("a"), F.max_by("hash", "lo").alias("b"), F.count("*").alias("c"))
+    level = found.select(by, "n", F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"), "hash")
+    out = [level]
+    for depth in range(max(0, (most - 1).bit_length()) - 1, -1, -1):
+        up = level.withColumn("up", _interval(F.col("lo"), F.col("n"), depth))
+        pairs = up.groupBy(by, "n", "up").agg(F.min_by("hash", "lo").alias("a"), F.max_by("hash", "lo").alias("b"), F.count("*").alias("c"))
         hashed = F.when(F.col("c") == 1, F.col("a")).otherwise(F.sha2(F.concat("a", "b"), 256))
-        level = pairs.select(by, F.col("plo").alias("lo"), F.col("phi").alias("hi"), hashed.alias("hash"))
-        out.append(level.select(by, F.lit(d).alias("depth"), "lo", "hi", "hash"))
-    whole = out[0]
-    for o in out[1:]:
-        whole = whole.unionByName(o)
-    return whole.groupBy(by, "lo", "hi").agg(F.min("depth").alias("depth"), F.first("hash").alias("hash")).select(by, "depth", "lo", "hi", "hash")
+        level = pairs.select(by, "n", F.col("up.lo").alias("lo"), F.col("up.hi").alias("hi"), hashed.alias("hash"))
+        out.append(level)
+    return out
+
+
+def nodes(found: DataFrame, by: str = "tree") -> DataFrame:
+    """tree, lo, hi, hash of every node; [lo, hi) are the places of its leaves. found: the result of leaves()."""
+    levels = _levels(found, by)
+    whole = levels[0]
+    for level in levels[1:]:
+        whole = whole.unionByName(level)
+    return whole.dropDuplicates([by, "lo", "hi"]).select(by, "lo", "hi", "hash")
 
 
 def roots(rows: DataFrame, by: str = "tree") -> DataFrame:
     """tree, n and root of each tree of rows."""
-    found = leaves(rows, by)
-    return nodes(found, by).where("depth = 0").select(by, F.col("hi").alias("n"), F.col("hash").alias("root"))
+    return _levels(leaves(rows, by), by)[-1].select(by, "n", F.col("hash").alias("root"))
 
 
 def positional_diff(local: DataFrame, remote: DataFrame, by: str = "tree") -> DataFrame:

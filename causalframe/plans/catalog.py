@@ -377,14 +377,7 @@ def merkle_leaves(spark, d):
     return merkle.leaves(_leaf_rows(spark, d))
 
 
-@query("""with recursive v as (select tree, key, hash, i, n from (select user_id % 40 as tree, cast(event_id as varchar) as key, sha256(concat(cast(event_id as varchar), props)) as hash,
-row_number() over (partition by user_id % 40 order by cast(event_id as varchar)) - 1 as i, count(*) over (partition by user_id % 40) as n from events)),
-iv as (select tree, 0 as depth, cast(0 as bigint) as lo, cast(n as bigint) as hi from v group by tree, n
-union all select tree, depth + 1, s.lo, s.hi from (select tree, depth, unnest([{'lo': lo, 'hi': lo + (hi - lo) // 2}, {'lo': lo + (hi - lo) // 2, 'hi': hi}]) as s from iv where hi - lo > 1)),
-up as (select tree, lo, hi, depth, hash, 30 as d from iv join v using (tree) where hi - lo = 1 and v.i = lo
-union all select tree, lo, hi, depth, hash, d from (
-select p.tree, p.lo, p.hi, p.depth, sha256(concat(a.hash, b.hash)) as hash, u.d - 1 as d from (select distinct d from up) u join iv p on p.depth = u.d - 1 join up a on a.tree = p.tree and a.lo = p.lo and a.hi = p.lo + (p.hi - p.lo) // 2 join up b on b.tree = p.tree and b.lo = a.hi and b.hi = p.hi))
-select 1 as x""" if False else None)
+@query()
 def merkle_root(spark, d):
     e = fx.table(spark, d, "events")
     return merkle.roots(e.select((F.col("user_id") % 40).alias("tree"), F.col("event_id").cast("string").alias("key"), F.col("props").alias("value")))
