@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from causalframe.schema import AFTER, BEFORE, CONCURRENT, EQUAL
 
 CLOCK = "map<string,bigint>"
+#: Times in JSON keep their microseconds.
+JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def new_clock() -> Column:
@@ -80,8 +82,8 @@ def render(clock: Column) -> Column:
 
 
 def to_json(clock: Column, ts: Column) -> Column:
-    return F.to_json(F.struct(clock.alias("versions"), ts.alias("timestamp")))
+    return F.to_json(F.struct(clock.alias("versions"), ts.alias("timestamp")), JSON_TIME)
 
 
 def from_json(text: Column) -> Column:
-    return F.from_json(text, f"versions {CLOCK}, timestamp timestamp")
+    return F.from_json(text, f"versions {CLOCK}, timestamp timestamp", JSON_TIME)
