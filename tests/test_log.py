@@ -71,7 +71,7 @@ def test_index(spark):
 
 def test_compaction(spark):
     log, now = _log(spark), F.timestamp_seconds(F.lit(1000))
-    assert {(r["key"], r["segment_id"]) for r in logs.compact(log, now, 10**9).collect()} == {("k", 2)}
+    assert {(r["key"], r["segment_id"]) for r in logs.compact(log, now, 10**8).collect()} == {("k", 2)}
     assert {(r["key"], r["segment_id"]) for r in logs.compact(log, now, 10**12, "causal").collect()} == {("k", 2), ("k", 3), ("j", 1)}
     assert logs.oldest_segments(log, 3).count() == 3 and logs.oldest_segments(log, 4).count() == 0
     old = logs.oldest_segments(log, 2)
