@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causalframe.llm.scratch import table, written
+from causalframe.llm.scratch import fresh, table, written
 from causalframe.llm.shingles import MARKS, hashes, strings, words
 
 #: A side of a join is broadcast up to so many counted rows, of a hash and two numbers or of one shingle.
@@ -67,8 +67,9 @@ def contained(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int
 
 def decontaminated(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of docs that hold no item; the columns of docs."""
-    found = contained(docs, items, least).select("row_key").distinct()
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(found, "row_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs, "row_key")
+    found = contained(docs, items, least).select(F.col("row_key").alias(name)).distinct()
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")).join(found, name, "left_anti").drop(name)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

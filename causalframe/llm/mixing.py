@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalframe.llm.scratch import table, written
+from causalframe.llm.scratch import fresh, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 _SPACE = r"\x20\x09-\x0D"
@@ -149,15 +149,17 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Seque
 
     Documents with no words cost none of the budget and stay once. A doc_id with several rows, and rows without one, are told apart by the hash of their columns.
     """
-    mark = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    taken = mix(docs.select(mark.alias("doc_id"), "source", "text"), share, most, weights, seed)
-    taken = taken.groupBy("doc_id").agg(F.sum("copies").alias("c"), F.count("*").alias("rows"), F.max("size").alias("z"))
-    named = docs.withColumn("_mark", mark).join(taken.withColumnRenamed("doc_id", "_mark"), "_mark")
-    nth = F.when(F.col("rows") == 1, 1).otherwise(F.row_number().over(Window.partitionBy("_mark").orderBy(F.lit(0))))
-    named = named.withColumn("_nth", nth)
-    own = F.expr("c div rows").cast("int") + (F.col("_nth") <= F.expr("c % rows")).cast("int")
-    copies = F.when(F.col("z") == 0, 1).otherwise(own)
-    return named.withColumn("_copies", copies).where("_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_one")).drop("_one")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    mark, nth, one = (fresh(docs, n) for n in ("mark", "nth", "one"))
+    names = {n: fresh(docs, n) for n in ("c", "m", "z")}
+    taken = mix(docs.select(F.xxhash64(*columns).alias("doc_id"), "source", "text"), share, most, weights, seed)
+    taken = taken.groupBy(F.col("doc_id").alias(mark)).agg(F.sum("copies").alias(names["c"]), F.count("*").alias(names["m"]), F.max("size").alias(names["z"]))
+    c, m, z = (F.col(names[n]) for n in ("c", "m", "z"))
+    named = docs.withColumn(mark, F.xxhash64(*columns)).join(taken, mark)
+    named = named.withColumn(nth, F.when(m == 1, 1).otherwise(F.row_number().over(Window.partitionBy(mark).orderBy(F.lit(0)))))
+    own = F.floor(c / m).cast("int") + (F.col(nth) <= c % m).cast("int")
+    copies = F.when(z == 0, 1).otherwise(own)
+    return named.where(copies > 0).select(*columns, F.explode(F.array_repeat(F.lit(0), copies)).alias(one)).drop(one)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

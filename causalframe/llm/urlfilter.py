@@ -86,7 +86,9 @@ def judged(captures: DataFrame, events: DataFrame, key: str = "page_id") -> Data
 
     Of an entry of a list named 'allow' and others, the longer pattern decides, and at one length 'allow' does. Every
     row of captures is returned, whatever its nulls; captures without an active entry are neither blocked nor allowed.
+    Columns of captures by these names are replaced.
     """
+    captures = captures.drop("blocked", "allowed", "lists", "pattern", "best")
     met = active(captures, events, key)
     best = F.max(F.struct(F.length("pattern").alias("n"), (F.col("list") == "allow").alias("ok"), "pattern")).alias("best")
     by = met.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), best)

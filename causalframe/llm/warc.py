@@ -30,14 +30,14 @@ def placed(rows: DataFrame, by: list[str], weight: str) -> DataFrame:
     Rows are range-partitioned and written; sums run within parts and over a table of one row a part.
     """
     order = [F.col(c).asc_nulls_first() for c in by]
-    parts = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "placed")
-    ends = parts.groupBy("part").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
-    up = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("part", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(up), F.lit(0)).alias("w0"))
-    here = Window.partitionBy("part").orderBy(*order)
+    parts = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "placed")
+    ends = parts.groupBy("__part").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    up = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__part", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("__n0"), F.coalesce(F.sum("w").over(up), F.lit(0)).alias("__w0"))
+    here = Window.partitionBy("__part").orderBy(*order)
     sums = F.coalesce(F.sum(weight).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = parts.withColumn("ordinal", F.row_number().over(here) - 1).withColumn("before", sums).join(ends, "part")
-    return out.select(*rows.columns, (F.col("ordinal") + F.col("n0")).cast("long").alias("ordinal"), (F.col("before") + F.col("w0")).cast("long").alias("before"))
+    out = parts.withColumn("ordinal", F.row_number().over(here) - 1).withColumn("before", sums).join(ends, "__part")
+    return out.select(*rows.columns, (F.col("ordinal") + F.col("__n0")).cast("long").alias("ordinal"), (F.col("before") + F.col("__w0")).cast("long").alias("before"))
 
 
 def in_files(rows: DataFrame, by: list[str], per_file: int = RECORDS_PER_FILE) -> DataFrame:

@@ -123,7 +123,7 @@ def test_decontamination_odd_rows(spark):
     item = " ".join(f"w{i}" for i in range(20))
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "tiny"), (5, item + " more"), (1, item)], "item_id long, text string").withColumn("own", F.lit(0))
     long_text = " ".join(f"x{i}" for i in range(30_000)) + " " + item.upper().replace(" ", ", ") + " " + " ".join(f"y{i}" for i in range(30_000))
-    rows = docs(spark, [*ODD, (20, long_text, "s"), (21, item.replace("w3 ", ""), "s"), (22, item.replace("w10 ", "").replace("w4 ", ""), "s"), (23, "Tiny!", "s"), (None, item, "s")]).withColumn("h", F.lit(0))
+    rows = docs(spark, [*ODD, (20, long_text, "s"), (21, item.replace("w3 ", ""), "s"), (22, item.replace("w10 ", "").replace("w4 ", ""), "s"), (23, "Tiny!", "s"), (None, item, "s")]).withColumn("h", F.lit(0)).withColumn("row_key", F.lit(0))
     got = {(r["doc_id"], r["item_id"]): r["n_shared"] for r in contained(rows, items).collect()}
     assert got == {(20, 1): 16, (20, 5): 16, (23, 4): 1, (None, 1): 16, (None, 5): 16}
     clean = decontaminated(rows, items)
@@ -157,7 +157,9 @@ def test_mixing(spark):
     by = rows.merge(table.select("doc_id", "source").toPandas(), on="doc_id").groupby("source", dropna=False).agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
     want = _targets(by["size"].to_dict())
     assert all(abs(by["target"][s] - t) < 1e-6 for s, t in want.items()) and (abs(by["taken"] - by["target"]) <= 1).all() and (rows["taken"] <= 2 * rows["size"]).all()
-    odd = docs(spark, ODD).withColumn("size", F.lit("clash"))
+    odd = docs(spark, ODD)
+    for clash in ("size", "c", "m", "z", "mark", "nth", "one", "copies", "target"):
+        odd = odd.withColumn(clash, F.lit("clash"))
     assert mix(odd).count() == len(ODD) and mixed(odd).columns == odd.columns and mix(odd.where("false")).count() == 0
     whole = mixed(table).groupBy("source").agg(F.count("*").alias("n")).count()
     assert whole == by.shape[0]
