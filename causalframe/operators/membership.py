@@ -110,3 +110,17 @@ def changes(members: DataFrame, scored: DataFrame, suspect: float = 8.0, dead: f
     """node_id, old_status, new_status of the members whose status changes."""
     rows = members.select("node_id", "status").join(scored.select("node_id", "phi"), "node_id", "left").withColumn("phi", F.coalesce("phi", F.lit(dead + 1)))
     return with_status(rows, suspect, dead, self_id).where("status != new_status").select("node_id", F.col("status").alias("old_status"), "new_status")
+
+
+def add_member(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """members with rows put in, or in the place of those of their node_id."""
+    return members.join(rows.select("node_id"), "node_id", "left_anti").unionByName(rows)
+
+
+def nodes_of_status(members: DataFrame, status: int) -> DataFrame:
+    return members.where(F.col("status") == status)
+
+
+def node_status(scored: DataFrame, node_ids: DataFrame) -> DataFrame:
+    """node_ids with phi and status; a node that is not known counts as alive."""
+    return node_ids.join(scored.select("node_id", "phi", F.col("new_status").alias("status")), "node_id", "left").withColumn("status", F.coalesce("status", F.lit(ALIVE)))

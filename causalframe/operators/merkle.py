@@ -63,6 +63,15 @@ def roots(rows: DataFrame, by: str = "tree") -> DataFrame:
     return _levels(leaves(rows, by), by)[-1].select(by, "n", F.col("hash").alias("root"))
 
 
+def update(rows: DataFrame, changed: DataFrame, by: str = "tree") -> DataFrame:
+    """rows with those of changed put in, or in their place; trees are folded anew from them."""
+    return rows.join(changed.select(by, "key"), [by, "key"], "left_anti").unionByName(changed)
+
+
+def delete(rows: DataFrame, keys: DataFrame, by: str = "tree") -> DataFrame:
+    return rows.join(keys.select(by, "key"), [by, "key"], "left_anti")
+
+
 def positional_diff(local: DataFrame, remote: DataFrame, by: str = "tree") -> DataFrame:
     """tree, i, key: the leaves at which descending both trees by position, where hashes differ, ends. Both: tree, key, value.
 

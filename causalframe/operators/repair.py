@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from causalframe.functions import clock
 from causalframe.functions.hashing import RING_SIZE, position
 from causalframe.operators.reconcile import reconcile, stale
-from causalframe.operators.ring import placement
+from causalframe.operators.merkle import roots
+from causalframe.operators.ring import placement, ranges
 
 
 def latest(replicas: DataFrame) -> DataFrame:
@@ -72,6 +73,17 @@ def keys_in_ranges(keys: DataFrame, ranges: DataFrame) -> DataFrame:
     return placed.join(spans, (F.shiftright(F.col("position"), 24) == F.col("bucket")) & F.col("position").between(F.col("lo"), F.col("hi"))).drop("lo", "hi", "bucket")
 
 
+def differing_ranges(local: DataFrame, remote: DataFrame, ring_tokens: DataFrame) -> DataFrame:
+    """start and stop of the ring ranges whose Merkle trees, over the digests of their keys, have different roots."""
+    spans = ranges(ring_tokens).select("start", "stop")
+    trees = []
+    for versions in (local, remote):
+        placed = keys_in_ranges(key_digests(versions), spans)
+        trees.append(roots(placed.select(F.col("stop").alias("tree"), "key", F.col("digest").alias("value"))))
+    mine, theirs = trees[0].select("tree", "root"), trees[1].select("tree", F.col("root").alias("other"))
+    return mine.join(theirs, "tree", "full").where("not (root <=> other)").join(spans, F.col("tree") == F.col("stop")).select("start", "stop")
+
+
 def select_replica(keys: DataFrame, ring: DataFrame, members: DataFrame, n: int, self_id: str) -> DataFrame:
     """key and node_id of the replica to sync with: of the live holders but the node itself, the one of the least hash."""
     live = members.where("status = 0").select("node_id")

@@ -16,6 +16,7 @@ from causalframe.functions import clock
 from causalframe.functions.predicates import retryable, tombstone_expired
 from causalframe.operators import log as logs
 from causalframe.operators import membership, merkle, quorum, repair, resilience, ring, telemetry
+from causalframe.operators.cluster import Cluster
 from causalframe.operators.reconcile import contexts, last_write_wins, merge_carts, reconcile, reconcile_with
 from causalframe.operators.store import Store, sweep
 from causalframe.plans import fixtures as fx
@@ -360,6 +361,19 @@ def request_metrics(spark, d):
     return quorum.request_metrics(rows).select("op", "requests", "failures", F.round("mean_ms", 6).alias("mean_ms"), F.round("max_ms", 2).alias("max_ms"))
 
 
+@query("""with e as (select concat('user:', cast(user_id as varchar)) as key, props, event_type = 'error' as gone from events where event_id % 3 = 0)
+select key, 'ok' as status, count(distinct case when not gone then props end) + max(gone::int) as n, max(gone::int) as tombs from e group by key""")
+def cluster_put_get(spark, d):
+    """Blind writes of one coordinator have equal clocks, so that all different ones are siblings; one node of five is down."""
+    members = fx.nodes(spark, 5).select("node_id", "ord", (F.col("ord") == 4).cast("int").alias("status"), F.lit(1).alias("heartbeat"))
+    rows = fx.kv(spark, d).where("seq % 3 = 0").withColumn("context", F.lit(None).cast("map<string,bigint>")).select("key", "seq", "data", "context", "ts", "is_tombstone")
+    up, _ = Cluster.start(members).put(rows.where("not is_tombstone"))
+    up, _ = up.delete(rows.where("is_tombstone"))
+    got, found = up.get(rows.select("key"))
+    counts = got.groupBy("key").agg(F.count("*").alias("n"), F.count_if("is_tombstone").alias("tombs"))
+    return found.join(counts, "key").select("key", "status", "n", "tombs")
+
+
 # Merkle trees and anti-entropy
 
 

@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from causalframe.sources.shared import shared_path
 from causalframe.sources.segments import read_segments, write_segments
 from causalframe.streaming.stateful import SURVIVORS, reconcile_stream
 
-_own: dict[str, str] = {}
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; where that is unset, and the session is local, in a folder of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
-        found = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="causalframe-")
-    return f"{found.rstrip('/')}/causalframe/{name}-{uuid.uuid4().hex}"
-
-
 def run_reconcile(versions: DataFrame, files: int = 3) -> DataFrame:
     """The survivors of all keys, by putting versions through reconcile_stream() a file at a time.
 
