@@ -17,7 +17,7 @@ import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,27 +82,41 @@ class Encoder:
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text as little-endian bytes, the end id behind them. A null text is empty."""
-        text = text or ""
+        return next(self.all([text]))
+
+    def all(self, texts: Iterable[str | None], size: int = 1 << 21) -> Iterator[bytes]:
+        """ids() of each text. New pieces are encoded together for about size characters of texts at a time."""
+        group, held = [], 0
+        for text in texts:
+            group.append(text or "")
+            held += len(group[-1])
+            if held > size:
+                yield from self._group(group)
+                group, held = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
         if not self.cut:
-            return self._encode([text])[0] + self.end
-        if _UNSAFE.search(text):
-            first, *rest = _CUT.split(text)
-            rest = [p[1:] for p in rest]
-        else:
-            first, *rest = text.split(" ")
-        known, older = self.known, self.older
-        new = []
-        for p in set(rest).difference(known):
+            yield from (self._encode([t])[0] + self.end for t in texts)
+            return
+        parts = [[p if n == 0 else p[1:] for n, p in enumerate(_CUT.split(t))] if _UNSAFE.search(t) else t.split(" ") for t in texts]
+        firsts = self._encode([p[0] for p in parts])
+        pieces = set()
+        for p in parts:
+            del p[0]
+            pieces.update(p)
+        known, older, new = self.known, self.older, []
+        for p in pieces.difference(known):
             if p in older:
                 known[p] = older[p]
             else:
                 new.append(p)
         for at in range(0, len(new), 4096):
             known.update(zip(new[at : at + 4096], self._encode([" " + p for p in new[at : at + 4096]])))
-        out = b"".join([*self._encode([first]), *[known[p] for p in rest], self.end])
+        for first, rest in zip(firsts, parts):
+            yield b"".join([first, *[known[p] for p in rest], self.end])
         if len(known) > self.keep:
             self.known, self.older = {}, known
-        return out
 
 
 class _Writer:
@@ -188,9 +202,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, file_bytes: int = 1 << 27, fol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, made, out = Encoder.of(tokenizer), TaskContext.get().partitionId(), [], None
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1)):
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.all(t.as_py() for t in batch.column(1))):
                 out = out or _Writer(folder, f"part-{part:06d}-{len(made):06d}.tok", encoder.width)
-                out.add(key.as_py(), encoder.ids(text.as_py()))
+                out.add(key, ids)
                 if out.ends[-1] * encoder.width >= file_bytes:
                     made.append(out.close())
                     out = None
