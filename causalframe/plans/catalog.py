@@ -595,7 +595,7 @@ def tombstone_expiry(spark, d):
 LOG = KV + ", lg as (select *, seq // 1000 as segment_id, seq as \"offset\", cast(length(data) + 40 as bigint) as length from kv)"
 
 
-@query(LOG + f""", k as (select *, row_number() over (partition by key order by ts desc, segment_id, "offset") as n from lg where segment_id < 3)
+@query(LOG + f""", k as (select *, row_number() over (partition by key order by ts desc, segment_id, "offset") as n from lg where segment_id < 3 and (select count(distinct segment_id) from lg) >= 3)
 select key, seq, segment_id from k where n = 1 and not (is_tombstone and ts < {NOW} - interval 7 day)""")
 def segment_compact(spark, d):
     log = fx.log(fx.kv(spark, d))
