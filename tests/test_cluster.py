@@ -1,14 +1,14 @@
 from pyspark.sql import functions as F
 
 from causalframe.config import ClusterConfig
-from causalframe.operators import merkle, repair
+from causalframe.operators import merkle
 from causalframe.operators.cluster import Cluster
 
 ASK = "key string, seq long, data string, context map<string,bigint>"
 
 
-def members(spark, down=()):
-    return spark.createDataFrame([(f"n{i}", i, 2 if i in down else 0, 1) for i in range(5)], "node_id string, ord long, status int, heartbeat long")
+def members(spark):
+    return spark.createDataFrame([(f"n{i}", i, 0, 1) for i in range(5)], "node_id string, ord long, status int, heartbeat long")
 
 
 def asks(spark, rows):
@@ -31,22 +31,6 @@ def test_read_modify_write(spark):
     assert [r["is_tombstone"] for r in got.collect()] == [True]
 
 
-def test_repair_hints_and_sync(spark):
-    c = Cluster.start(members(spark, down=(0, 1)), ClusterConfig(vnodes=4))
-    rows = asks(spark, [(f"k{i}", i, "v", None) for i in range(12)])
-    c, status = c.put(rows)
-    assert {r["status"] for r in status.collect()} <= {"ok", "quorum_failed"} and c.hints.count() > 0
-    short = c.replicas.count()
-    up = c.joined(members(spark).withColumn("heartbeat", F.lit(2).cast("long")))
-    healed = up.hints_delivered()
-    assert healed.hints.count() == 0 and healed.replicas.count() == 36 == short + c.hints.count()
-    assert up.read_repaired(rows).replicas.count() == 36
-    both = healed.synced("n2", "n3")
-    sets = [{(r["key"], r["seq"]) for r in both.replicas.where(F.col("node_id") == n).collect()} for n in ("n2", "n3")]
-    assert sets[0] == sets[1]
-    assert repair.differing_ranges(both.replicas, both.replicas, healed.ring).count() == 0
-
-
 def test_merkle_update_and_delete(spark):
     rows = spark.createDataFrame([("t", "a", "1"), ("t", "b", "2")], "tree string, key string, value string")
     more = merkle.update(rows, spark.createDataFrame([("t", "b", "3"), ("t", "c", "4")], rows.schema))
