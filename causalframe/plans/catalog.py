@@ -72,6 +72,15 @@ def query(sql: str | None = None):
     return add
 
 
+def whole(name: str, *cut: str) -> str:
+    """SQL of a query over a part of its table, with the text that limits it cut out."""
+    sql = ORACLE_SQL[name]
+    for text in cut:
+        assert sql.count(text) == 1, (name, text)
+        sql = sql.replace(text, "")
+    return sql
+
+
 def _store(spark, d) -> Store:
     return Store(reconcile(fx.kv(spark, d)))
 
@@ -280,7 +289,16 @@ s as (select * from v a where not exists (select 1 from v b where b.req_id = a.r
 select req_id, count(*) as n_values, count(distinct clock) as n_clocks, cast(sum(seq) as bigint) as ids, any_value(concat_ws(',', case when c.a > 0 then concat('node0=', c.a) end, case when c.b > 0 then concat('node1=', c.b) end, case when c.c > 0 then concat('node2=', c.c) end)) as context
 from s join c using (req_id) group by req_id""")
 def quorum_get_values(spark, d):
-    got, context = quorum.read(fx.responses(spark, d, 50), fx.replicas(fx.kv(spark, d)), 2)
+    return _values(spark, d, fx.responses(spark, d, 50))
+
+
+@query(whole("quorum_get_values", " and req_id % 50 = 0"))
+def quorum_get_values_all(spark, d):
+    return _values(spark, d, fx.responses(spark, d))
+
+
+def _values(spark, d, responses: DataFrame) -> DataFrame:
+    got, context = quorum.read(responses, fx.replicas(fx.kv(spark, d)), 2)
     counts = got.groupBy("req_id").agg(F.count("*").alias("n_values"), F.count_distinct(clock.render(F.col("versions"))).alias("n_clocks"), F.sum("seq").alias("ids"))
     return counts.join(context, "req_id").select("req_id", "n_values", "n_clocks", "ids", clock.render(F.col("context")).alias("context"))
 
@@ -582,7 +600,16 @@ def prometheus_histogram(spark, d):
 
 @query(KV + f", t as (select key, bool_and(is_tombstone and ts <= {NOW} - interval 7 day) as gone, count(*) as n from kv where seq % 100 < 3 group by key) select key, n as versions from t where not gone")
 def tombstone_sweep(spark, d):
-    kept, _ = sweep(fx.kv(spark, d).where("seq % 100 < 3"), F.expr(NOW), 7 * DAY_US)
+    return _swept(fx.kv(spark, d).where("seq % 100 < 3"))
+
+
+@query(whole("tombstone_sweep", " where seq % 100 < 3"))
+def tombstone_sweep_all(spark, d):
+    return _swept(fx.kv(spark, d))
+
+
+def _swept(versions: DataFrame) -> DataFrame:
+    kept, _ = sweep(versions, F.expr(NOW), 7 * DAY_US)
     return kept.groupBy("key").agg(F.count("*").alias("versions"))
 
 
