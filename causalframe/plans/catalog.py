@@ -137,8 +137,16 @@ def kv_live_values(spark, d):
 
 @query("select concat('user:', cast(user_id as varchar)) as key, count(*) as live from events where event_type != 'error' group by user_id having user_id % 5 = 2")
 def kv_log_delete(spark, d):
+    return _log_delete(spark, d, _keys(spark, d).where("cast(substring(key, 6) as long) % 5 = 2"))
+
+
+@query(whole("kv_log_delete", " having user_id % 5 = 2"))
+def kv_log_delete_all(spark, d):
+    return _log_delete(spark, d, _keys(spark, d))
+
+
+def _log_delete(spark, d, keys: DataFrame) -> DataFrame:
     store = Store(fx.kv(spark, d).drop("node_id", "value"), "log")
-    keys = _keys(spark, d).where("cast(substring(key, 6) as long) % 5 = 2")
     return store.delete(keys, F.lit("2024-06-01")).multi_get(keys).groupBy("key").agg(F.count("*").alias("live"))
 
 
@@ -215,7 +223,16 @@ def app_reconcile(spark, d):
 i as (select distinct k, item from c), u as (select k, cast(arg_max(o_custkey, o_orderkey) as varchar) as u from c group by k)
 select concat('cart:', k) as key, concat('{"user_id":"', any_value(u), '","items":[', string_agg(concat('"', item, '"'), ',' order by item), ']}') as data from i join u using (k) group by k""")
 def cart_merge(spark, d):
-    lines = fx.table(spark, d, "orders").where("o_orderkey % 5 = 0").join(fx.table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return _carts(spark, d, fx.table(spark, d, "orders").where("o_orderkey % 5 = 0"))
+
+
+@query(whole("cart_merge", " where o_orderkey % 5 = 0"))
+def cart_merge_all(spark, d):
+    return _carts(spark, d, fx.table(spark, d, "orders"))
+
+
+def _carts(spark, d, orders: DataFrame) -> DataFrame:
+    lines = orders.join(fx.table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     carts = lines.groupBy("o_orderkey", "o_custkey").agg(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("items"))
     data = F.to_json(F.struct(F.col("o_custkey").cast("string").alias("user_id"), "items"))
     return merge_carts(carts.select(F.concat(F.lit("cart:"), (F.col("o_custkey") % 100).cast("string")).alias("key"), F.col("o_orderkey").alias("seq"), data.alias("data")))
@@ -313,7 +330,16 @@ def quorum_put(spark, d):
 @query(KV + """ select key, seq, concat_ws(',', case when n0 + (node_id = 'node0')::int > 0 then concat('node0=', n0 + (node_id = 'node0')::int) end, case when n1 + (node_id = 'node1')::int > 0 then concat('node1=', n1 + (node_id = 'node1')::int) end,
 case when n2 + (node_id = 'node2')::int > 0 then concat('node2=', n2 + (node_id = 'node2')::int) end) as clock, true as is_tombstone from kv where seq % 3 = 1""")
 def quorum_delete(spark, d):
-    asks = fx.kv(spark, d).where("seq % 3 = 1").withColumn("context", F.col("versions"))
+    return _deleted(fx.kv(spark, d).where("seq % 3 = 1"))
+
+
+@query(whole("quorum_delete", " where seq % 3 = 1"))
+def quorum_delete_all(spark, d):
+    return _deleted(fx.kv(spark, d))
+
+
+def _deleted(versions: DataFrame) -> DataFrame:
+    asks = versions.withColumn("context", F.col("versions"))
     rows = quorum.written_versions(asks, 10, tombstone=True)
     return rows.where("data is null").select("key", "seq", clock.render(F.col("versions")).alias("clock"), "is_tombstone")
 
@@ -383,8 +409,17 @@ def request_metrics(spark, d):
 select key, 'ok' as status, count(distinct case when not gone then props end) + max(gone::int) as n, max(gone::int) as tombs from e group by key""")
 def cluster_put_get(spark, d):
     """Blind writes of one coordinator have equal clocks, so that all different ones are siblings; one node of five is down."""
+    return _put_get(spark, fx.kv(spark, d).where("seq % 3 = 0"))
+
+
+@query(whole("cluster_put_get", " where event_id % 3 = 0"))
+def cluster_put_get_all(spark, d):
+    return _put_get(spark, fx.kv(spark, d))
+
+
+def _put_get(spark, versions: DataFrame) -> DataFrame:
     members = fx.nodes(spark, 5).select("node_id", "ord", (F.col("ord") == 4).cast("int").alias("status"), F.lit(1).alias("heartbeat"))
-    rows = fx.kv(spark, d).where("seq % 3 = 0").withColumn("context", F.lit(None).cast("map<string,bigint>")).select("key", "seq", "data", "context", "ts", "is_tombstone")
+    rows = versions.withColumn("context", F.lit(None).cast("map<string,bigint>")).select("key", "seq", "data", "context", "ts", "is_tombstone")
     up, _ = Cluster.start(members).put(rows.where("not is_tombstone"))
     up, _ = up.delete(rows.where("is_tombstone"))
     got, found = up.get(rows.select("key"))
@@ -496,8 +531,8 @@ f as (select *, case when y < 0 then -1 else 1 end * (1 - ((((1.061405429 * t -
 p as (select node_id, abs(log10(1 - least(0.5 * (1 + erf), 0.9999))) as phi from f)"""
 
 
-def _phi(spark, d):
-    e = fx.table(spark, d, "events").where("event_id % 3 = 0")
+def _phi(spark, d, only: str = "event_id % 3 = 0"):
+    e = fx.table(spark, d, "events").where(only)
     beats = e.select(F.concat(F.lit("node"), (F.col("event_id") % 7).cast("string")).alias("node_id"), (fx.micros(F.col("ts")) * 1000).alias("arrival_ns"))
     now = F.col("last_ns") + F.lit(300_000_000_000) * F.substring("node_id", 5, 9).cast("long")
     return membership.phi(membership.intervals(beats), now, 5_000_000_000)
@@ -513,6 +548,16 @@ def failure_status(spark, d):
     return membership.with_status(_phi(spark, d), 0.5, 3.0).select("node_id", "new_status")
 
 
+@query(whole("phi", " where event_id % 3 = 0"))
+def phi_all(spark, d):
+    return _phi(spark, d, "true").select("node_id", (F.round("phi", 5) + F.lit(0.0)).alias("phi"))
+
+
+@query(whole("failure_status", " where event_id % 3 = 0"))
+def failure_status_all(spark, d):
+    return membership.with_status(_phi(spark, d, "true"), 0.5, 3.0).select("node_id", "new_status")
+
+
 # Telemetry
 
 
@@ -549,6 +594,13 @@ def admission_slots(spark, d):
     return telemetry.admission(rows, rows.where("seq % 50 < 7").select("node_id", "seq"), window=100)
 
 
+@query(whole("admission_slots", " where seq % 50 < 7").replace("rows between 99 preceding", "rows between 999 preceding"))
+def admission_slots_all(spark, d):
+    """A check behind every sample, with the operator's own window."""
+    rows = fx.latencies(spark, d)
+    return telemetry.admission(rows, rows.select("node_id", "seq"))
+
+
 @query("select 'requests' as metric, concat('{op=\"', event_type, '\",node=\"node', event_id % 3, '\"}') as labels, count(*) as value from events group by event_type, event_id % 3")
 def counters(spark, d):
     e = fx.table(spark, d, "events")
@@ -715,8 +767,17 @@ def stream_reconcile(spark, d):
 
 @query(KV + " select key, data, clock, is_tombstone, epoch_us(ts) * 1000 as ts_ns from kv where seq % 4 = 0")
 def segment_roundtrip(spark, d):
+    return _roundtrip(fx.kv(spark, d).where("seq % 4 = 0"))
+
+
+@query(whole("segment_roundtrip", " where seq % 4 = 0"))
+def segment_roundtrip_all(spark, d):
+    return _roundtrip(fx.kv(spark, d))
+
+
+def _roundtrip(versions: DataFrame) -> DataFrame:
     from causalframe.plans.streams import through_segments
 
-    rows = fx.kv(spark, d).where("seq % 4 = 0").select("key", "data", "versions", (fx.micros(F.col("ts")) * 1000).alias("ts_ns"), "is_tombstone")
+    rows = versions.select("key", "data", "versions", (fx.micros(F.col("ts")) * 1000).alias("ts_ns"), "is_tombstone")
     back = through_segments(rows)
     return back.select("key", F.col("data").cast("string").alias("data"), clock.render(F.col("versions")).alias("clock"), "is_tombstone", "ts_ns")
