@@ -187,7 +187,11 @@ def first_of_groups(docs: DataFrame, max_bits: int = 4) -> DataFrame:
     Of repeated rows with the first doc_id, the one with the least hash of its columns stays. Rows with a null doc_id
     can't stand for a group and no verdict can name them: each different one of them stays.
     """
-    groups = near_groups(docs.select("doc_id", "text"), max_bits)
+    return firsts_of(docs, near_groups(docs.select("doc_id", "text"), max_bits))
+
+
+def firsts_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that groups (doc_id, component_id) makes the first of their group, as first_of_groups says."""
     kept = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     best = kept.groupBy("doc_id").agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")

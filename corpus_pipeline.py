@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from causalframe.llm.decontam import decontaminated
 from causalframe.llm.mixing import mixed
 from causalframe.llm.scratch import table, written
-from causalframe.llm.simhash import first_of_groups
+from causalframe.llm.neardup import first_of_groups
 from causalframe.llm.tokens import read_tokens, tokenizer_path, write_tokens
 from causalframe.llm.toxicity import without_toxic
 
@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that of the least doc_id."""
+    """One document of each group of similar ones stays, that of the least doc_id: Jaccard 0.8 or more on 5-word shingles."""
     return first_of_groups(docs)
 
 
