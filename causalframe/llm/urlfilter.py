@@ -2,8 +2,8 @@
 
 A list is a table of dated events: at a time, a pattern of a list is added or removed. A pattern is a host, which also
 covers the hosts below it, or a host and a path, which covers paths that start with its segments. Events of one pattern
-become intervals from an addition to the next removal. A capture is turned into the few patterns that could cover it,
-and each is looked up by equality, with the time in the interval; intervals are posted by the month, so that neither a
+become intervals from an addition to the next removal. A capture is turned into the patterns that could cover it, of the
+depths that the list has, and each is looked up by equality, with the time in the interval; intervals are posted by the month, so that neither a
 popular host nor a pattern with a long history meets all of its partner rows.
 """
 
@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalframe.llm.scratch import table
+from causalframe.llm.scratch import fresh, table, written
+from causalframe.llm.shingles import let
 
-#: Host labels and path segments of a capture that are looked up; list patterns deeper than this are refused by intervals().
-MAX_LABELS = 12
-MAX_SEGMENTS = 6
 FOREVER = "9999-12-01"
 
 
@@ -31,13 +29,24 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
 
 
-def patterns(url: Column) -> Column:
-    """All patterns that cover a URL: its host and those above it, each alone and with each leading part of the path."""
+def shape(pattern: Column) -> Column:
+    """labels and segments: how many a pattern, as intervals() gives it, has of both."""
+    host = F.substring_index(pattern, "/", 1)
+    return F.struct(F.size(F.split(host, r"\.")).alias("labels"), (F.size(F.split(pattern, "/")) - 1).alias("segments"))
+
+
+def patterns(url: Column, shapes: Column) -> Column:
+    """The patterns of shapes (an array of shape()) that cover a URL: its host or one above it, with a leading part of the path."""
     labels = F.split(host_of(url), r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_LABELS))), lambda i: F.array_join(F.slice(labels, F.size(labels) - i + 1, i), "."))
     segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    paths = F.transform(F.sequence(F.lit(0), F.least(F.size(segments), F.lit(MAX_SEGMENTS))), lambda i: F.when(i == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(segments, 1, i), "/"))))
-    each = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
+
+    def body(x: Column) -> Column:
+        fits = F.filter(shapes, lambda d: (d["labels"] <= F.size(x["labels"])) & (d["segments"] <= F.size(x["segments"])))
+        host = lambda d: F.array_join(F.slice(x["labels"], F.size(x["labels"]) - d["labels"] + 1, d["labels"]), ".")
+        path = lambda d: F.concat(F.lit("/"), F.array_join(F.slice(x["segments"], 1, d["segments"]), "/"))
+        return F.transform(fits, lambda d: F.when(d["segments"] == 0, host(d)).otherwise(F.concat(host(d), path(d))))
+
+    each = let(F.struct(labels.alias("labels"), segments.alias("segments")), body)
     return F.when(host_of(url) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(each))
 
 
@@ -46,13 +55,12 @@ def intervals(events: DataFrame) -> DataFrame:
 
     events: list, pattern, at, action ('add' or 'remove'). Of events of one entry at one time a removal wins; an
     addition while active and a removal while inactive change nothing; an addition without a later removal is active
-    for ever. Events with a null in any of these columns, and patterns deeper than a capture is looked up, are left out.
+    for ever. Events with a null in any of these columns are left out.
     """
     clean = events.where("list is not null and pattern is not null and at is not null and action in ('add', 'remove')")
     host, path = F.substring_index("pattern", "/", 1), F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 1)")
     pattern = F.concat(F.lower(host), F.regexp_replace(path, "/+$", ""))
     clean = clean.select("list", pattern.alias("pattern"), "at", (F.col("action") == "add").alias("on"))
-    clean = clean.where((F.size(F.split(F.substring_index("pattern", "/", 1), r"\.")) <= MAX_LABELS) & (F.size(F.split("pattern", "/")) <= MAX_SEGMENTS + 1))
     times = clean.groupBy("list", "pattern", "at").agg(F.bool_and("on").alias("on"))
     order = Window.partitionBy("list", "pattern").orderBy("at")
     turns = times.withColumn("was", F.coalesce(F.lag("on").over(order), F.lit(False))).where("on != was")
@@ -65,34 +73,41 @@ def _month(at: Column) -> Column:
 
 
 def active(captures: DataFrame, events: DataFrame, key: str = "page_id", until: str = "2100-01-01") -> DataFrame:
-    """One row for each capture and list with an entry active at fetch time: its key, list, pattern and valid_from.
+    """One row for each capture and list with an entry active at fetch time: its key, url, fetched_at, list, pattern and valid_from.
 
-    captures: key, url, fetched_at. Of several active patterns of a list the longest is named. Captures with a null
-    url or time, or a URL with no host, meet nothing. Captures later than until are looked up in its month, where
-    entries without an end are posted, too. Repeated rows are looked up as one.
+    captures: key, url, fetched_at; a capture is these three, so that each time and URL of a key has entries of its own.
+    Of several active patterns of a list the longest is named. Captures with a null url or time, or a URL with no host,
+    meet nothing. Captures later than until are looked up in its month, where entries without an end are posted, too.
+    Repeated rows are looked up as one.
     """
     limit = _month(F.lit(until).cast("timestamp"))
-    posted = intervals(events).withColumn("month", F.explode(F.sequence(F.least(_month(F.col("valid_from")), limit), F.least(_month(F.col("valid_to")), limit))))
-    looked = captures.where("url is not null and fetched_at is not null").select(key, "url", "fetched_at").distinct()
-    looked = looked.select(key, "fetched_at", F.least(_month(F.col("fetched_at")), limit).alias("month"), F.explode(patterns(F.col("url"))).alias("pattern"))
+    spans = written(intervals(events), "spans")
+    shapes = spans.select(shape(F.col("pattern")).alias("d")).agg(F.collect_set("d").alias("shapes"))  # a row for each depth
+    posted = spans.withColumn("month", F.explode(F.sequence(F.least(_month(F.col("valid_from")), limit), F.least(_month(F.col("valid_to")), limit))))
+    whole = [key, "url", "fetched_at"]
+    looked = captures.where("url is not null and fetched_at is not null").select(*whole).distinct().crossJoin(F.broadcast(shapes))
+    looked = looked.select(*whole, F.least(_month(F.col("fetched_at")), limit).alias("month"), F.explode(patterns(F.col("url"), F.col("shapes"))).alias("pattern"))
     inside = (looked["fetched_at"] >= posted["valid_from"]) & (looked["fetched_at"] < posted["valid_to"])
-    met = looked.join(posted, (looked["pattern"] == posted["pattern"]) & (looked["month"] == posted["month"]) & inside).select(key, "list", looked["pattern"], "valid_from")
+    met = looked.join(posted, (looked["pattern"] == posted["pattern"]) & (looked["month"] == posted["month"]) & inside).select(*whole, "list", looked["pattern"], "valid_from")
     best = F.max(F.struct(F.length("pattern").alias("n"), "pattern", "valid_from")).alias("best")
-    return met.groupBy(key, "list").agg(best).select(key, "list", "best.pattern", "best.valid_from")
+    return met.groupBy(*whole, "list").agg(best).select(*whole, "list", "best.pattern", "best.valid_from")
 
 
 def judged(captures: DataFrame, events: DataFrame, key: str = "page_id") -> DataFrame:
     """captures with blocked, allowed, lists (the sorted names of lists that meet it) and pattern (the longest that does).
 
     Of an entry of a list named 'allow' and others, the longer pattern decides, and at one length 'allow' does. Every
-    row of captures is returned, whatever its nulls; captures without an active entry are neither blocked nor allowed.
-    Columns of captures by these names are replaced.
+    row of captures is returned with the verdict of its own key (null or not), url and time, whatever its nulls;
+    captures without an active entry are neither blocked nor allowed. Columns of captures by these names are replaced.
     """
     captures = captures.drop("blocked", "allowed", "lists", "pattern", "best")
     met = active(captures, events, key)
     best = F.max(F.struct(F.length("pattern").alias("n"), (F.col("list") == "allow").alias("ok"), "pattern")).alias("best")
-    by = met.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), best)
-    rows = captures.join(by, key, "left")
+    by = met.groupBy(key, "url", "fetched_at").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), best)
+    names = [fresh(captures, f"_of_{i}") for i in range(3)]
+    by = by.select(*[F.col(c).alias(n) for c, n in zip((key, "url", "fetched_at"), names)], "lists", "best")
+    same = captures[key].eqNullSafe(F.col(names[0])) & (captures["url"] == F.col(names[1])) & (captures["fetched_at"] == F.col(names[2]))
+    rows = captures.join(by, same, "left").drop(*names)
     ok = F.coalesce(F.col("best.ok"), F.lit(False))
     return rows.withColumn("blocked", F.col("best").isNotNull() & ~ok).withColumn("allowed", ok).withColumn("pattern", F.col("best.pattern")).withColumn("lists", F.coalesce("lists", F.lit(""))).drop("best")
 
