@@ -12,6 +12,8 @@ resemblance of 0.003, and the bands to find that are more than the document's sh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +38,24 @@ def contained(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int
     """row_key, doc_id, item_id, n_shared, n_item, containment: the items of which documents hold the share least or more.
 
     Words are runs of letters and digits, lower-cased; shingles are sets. An item of fewer than width words is one
-    shingle, found only in documents of just these words; one of no words is found nowhere, and null texts have none.
-    row_key is a hash of doc_id and text: repeated rows of docs give one row for each item, and rows without a doc_id
-    are told apart by it. Repeated items of one id count together, as the set of their shingles. Only doc_id, item_id
-    and text are read.
+    shingle of as many words as it has, found wherever these follow each other; one of no words is found nowhere, and
+    null texts have none. row_key is a hash of doc_id and text: repeated rows of docs give one row for each item, and rows
+    without a doc_id are told apart by it. Each row of items is an item by itself, whatever its item_id, a null one too;
+    those of one id and one set of shingles count once. Only doc_id, item_id and text are read.
     """
-    items = items.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_set(strings(words(F.col("text"), MARKS), width)))).alias("own"))
-    items = written(items.select("item_id", "own", F.size("own").alias("n_item")).where("n_item > 0"), "items")
+    n_words = F.least(F.size(words(F.col("text"), MARKS)), F.lit(width)).alias("width")
+    items = written(items.select("item_id", "text", n_words).where("width > 0"), "texts")
+    widths = sorted({width, *(r["width"] for r in items.select("width").distinct().collect())})
+    return reduce(DataFrame.unionByName, [_contained(docs, items.where(F.col("width") == w), least, w) for w in widths])
+
+
+def _contained(docs: DataFrame, items: DataFrame, least: float, width: int) -> DataFrame:
+    """contained() of items of width words at least."""
+    items = items.select("item_id", F.array_sort(F.array_distinct(strings(words(F.col("text"), MARKS), width))).alias("own")).distinct()
+    items = written(items.select(F.xxhash64("item_id", "own").alias("item"), "item_id", "own", F.size("own").alias("n_item")), "items")
     need = F.ceil(F.col("n_item") * F.lit(least) - F.lit(1e-9)).cast("int")
     hashed = F.array_sort(F.array_distinct(F.transform("own", lambda s: hashes(F.split(s, " "), width)[0])))
-    sketch = items.select("item_id", "n_item", need.alias("need"), F.slice(hashed, F.lit(1), F.col("n_item") - need + 1).alias("least"))
+    sketch = items.select("n_item", need.alias("need"), F.slice(hashed, F.lit(1), F.col("n_item") - need + 1).alias("least"))
     fits = F.explode(F.sequence(_class(F.col("need")), F.lit(TOP_CLASS)))
     posts = sketch.select("need", "least", fits.alias("class")).select("class", F.explode("least").alias("h")).distinct()
     posts = written(posts, "posts")
@@ -58,9 +68,9 @@ def contained(docs: DataFrame, items: DataFrame, least: float = 0.8, width: int
 
     wanted = docs.select(key, "doc_id", "text").join(_small(hits, hits.count()), "row_key", "left_semi").select("row_key", "doc_id", "text")
     found = wanted.select("row_key", "doc_id", F.explode(F.array_distinct(strings(words(F.col("text"), MARKS), width))).alias("s")).distinct()
-    shingles = items.select("item_id", "n_item", F.explode("own").alias("s"))
+    shingles = items.select("item", "item_id", "n_item", F.explode("own").alias("s"))
     shared = found.join(_small(shingles, items.agg(F.sum("n_item")).first()[0] or 0), "s")
-    counts = shared.groupBy("row_key", "doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    counts = shared.groupBy("row_key", "doc_id", "item", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     share = F.col("n_shared") / F.col("n_item")
     return counts.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(least) - F.lit(1e-9))).select("row_key", "doc_id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item"), share.alias("containment"))
 
