@@ -1,8 +1,8 @@
 """WARC fixity audit by Merkle trees.
 
-Records of a WARC file are hashed and are the leaves, in order of offset; every inner node hashes the offset range that
-it covers and its children's hashes. Two replicas agree if the roots of their files do. Where they do not, children are
-compared level by level, below mismatching nodes only, down to the records that are damaged, missing or extra.
+Records of a WARC file are hashed and are the leaves, in order of offset; a leaf hashes its record's offsets with it, and
+every inner node the offset range that it covers and its children's hashes. Two replicas agree if the roots of their files do. Where they do not, children are
+compared level by level, below mismatching nodes only, down to the records that are damaged, moved, missing or extra.
 """
 
 from __future__ import annotations
@@ -49,12 +49,13 @@ def in_files(rows: DataFrame, by: list[str], per_file: int = RECORDS_PER_FILE) -
 
 
 def tree(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels of nodes (file, node, start, stop, digest), leaves first, up to one root a file.
+    """Levels of nodes (file, node, start, stop, digest), leaves first, up to one root a file. A leaf has record, too: its own digest.
 
     leaves: file, place, offset, length, digest; places of missing records are simply absent. A node gathers at most
     fanout children, so no group grows with the data.
     """
-    level = leaves.select("file", F.col("place").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"), "digest")
+    level = leaves.select("file", F.col("place").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"), F.col("digest").alias("record"))
+    level = level.withColumn("digest", F.sha2(F.concat_ws("|", F.col("start").cast("string"), F.col("stop").cast("string"), "record"), 256))
     levels = [written(level, "merkle")]
     last = levels[0].agg(F.max("node")).first()[0] or 0
     while last > 0:
@@ -69,7 +70,9 @@ def tree(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
 
 
 def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """file, place, digest, replica_digest, kind (damaged, missing or extra) of each record in which replicas differ.
+    """file, place, digest, replica_digest, kind (damaged, moved, missing or extra) of each record in which replicas differ.
+
+    A record is moved if its digest is the same and its offset or length is not.
 
     Both: file, place, offset, length, digest, of different (file, place); rows with a null in these are no records.
     Equal tables, empty ones too, give no rows.
@@ -87,7 +90,11 @@ def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataF
             a, b = (x.withColumn("up", F.expr(f"node div {fanout}")).join(up, ["file", "up"], "left_semi").drop("up") for x in (a, b))
         pair = a.select("file", "node", F.col("digest").alias("digest")).join(b.select("file", "node", F.col("digest").alias("replica_digest")), ["file", "node"], "full")
         bad = written(pair.where("not (digest <=> replica_digest)"), "mismatch")
-    kind = F.when(F.col("replica_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("damaged")
+    spots = bad.select("file", "node")
+    a, b = (x[0].join(spots, ["file", "node"]).select("file", "node", F.col("record").alias(c)) for x, c in ((ours, "digest"), (theirs, "replica_digest")))
+    bad = a.join(b, ["file", "node"], "full")
+    kind = F.when(F.col("replica_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra")
+    kind = kind.when(F.col("digest") == F.col("replica_digest"), "moved").otherwise("damaged")
     return bad.select("file", F.col("node").alias("place"), "digest", "replica_digest", kind.alias("kind"))
 
 
@@ -111,13 +118,15 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     """Damaged and missing records of a replica of all pages.
 
     The tables have no replica: the query makes one, in which pages of id modulo 389 = 7 are missing and those of id
-    modulo 97 = 13 have another first character.
+    modulo 97 = 13 have another first character. It is laid out by its own records' lengths; a missing one leaves its room.
     """
     pages = table(spark, sf_dir, "pages")
     body = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("X"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
     gone = F.col("page_id") % 389 == 7
     rec, rep = record(F.col("page_id"), F.col("url"), F.col("html")), record(F.col("page_id"), F.col("url"), body)
-    rows = pages.select("page_id", F.xxhash64("url", "html").alias("tie"), F.octet_length(rec).cast("long").alias("length"), F.sha2(rec, 256).alias("digest"), F.when(~F.coalesce(gone, F.lit(False)), F.sha2(rep, 256)).alias("copy"))
+    rows = pages.select("page_id", F.xxhash64("url", "html").alias("tie"), F.octet_length(rec).cast("long").alias("length"), F.sha2(rec, 256).alias("digest"))
+    gone = F.coalesce(gone, F.lit(False))
+    copies = pages.select("page_id", F.xxhash64("url", "html").alias("tie"), F.octet_length(F.when(gone, rec).otherwise(rep)).cast("long").alias("length"), F.when(~gone, F.sha2(rep, 256)).alias("digest"))
     layout = written(in_files(rows, ["page_id", "tie"]), "records")
-    found = audit(layout, layout.drop("digest").withColumnRenamed("copy", "digest"))
+    found = audit(layout, in_files(copies, ["page_id", "tie"]))
     return found.join(layout.select("page_id", "file", "place", "offset", "length"), ["file", "place"]).select("page_id", "file", "place", "offset", "length", "digest", "replica_digest", "kind")
