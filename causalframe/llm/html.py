@@ -3,7 +3,8 @@
 A page is read into a tree by one pass over its tags. Every block of text gives points for its length and its commas,
 less the share of it that is link text, to the elements around it: all to the nearest, half to the next, less to each
 further one. The element of most points, discounted by its own link density, is the container; siblings that score
-well enough are kept with it. Parts that are no article by their element or class are left out beforehand.
+well enough are kept with it. Parts that are no article by their element or class are left out beforehand, but for
+classes that would take the article with them.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from causalframe.llm.scratch import table
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRS = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[\s_\-]+")
 _OTHER = re.compile(
     r"(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|repl(?:y|ies)|sidebar|aside|widgets?|notices?|alert|cookies?|cookiebar"
@@ -48,19 +49,37 @@ _COMMA = re.compile("[,،、，;]")
 LEVELS = 6
 
 
-def _unlikely(tag: str, attrs: str) -> bool:
-    """Whether an element is no part of an article, by its name, class, id or role."""
+#: What an element's name and attributes say of it: part of the page, no part by a piece of a class, by a whole one, no part.
+STAYS, PIECE, CLASS, OUT = range(4)
+
+
+def _unlikely(tag: str, attrs: str) -> int:
+    """Whether an element is no part of an article, by its name, being hidden, or its class, id or role."""
     if tag in _DROP:
-        return True
+        return OUT
     if not attrs or tag in _WHOLE:
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    for found in _NAMES.findall(attrs):
-        names = "".join(found).lower().split()
-        if not _OWN & set(names) and any(_OTHER.match(part) for name in names for part in _PARTS.split(name)):
-            return True
-    return False
+        return STAYS
+    known: dict[str, str] = {}
+    for name, *value in _ATTR.findall(attrs):
+        known.setdefault(name.lower(), "".join(value))
+    if "hidden" in known or known.get("aria-hidden", "").strip().lower() == "true" or _NONE.search(known.get("style", "")):
+        return OUT
+    found = STAYS
+    for key in ("class", "id", "role"):
+        names = known.get(key, "").lower().split()
+        if not _OWN & set(names):
+            for name in names:
+                if _OTHER.match(name):
+                    return CLASS
+                if any(_OTHER.match(part) for part in _PARTS.split(name)):
+                    found = PIECE
+    return found
+
+
+def _points(text: str, link: int, heading: bool) -> float:
+    """Points of a block: for its length and commas, less the share of it that is link text."""
+    points = min(1.0, len(text) / 25) + len(_COMMA.findall(text)) + min(3.0, len(text) / 100)
+    return points * (1 - link / len(text)) * (0.1 if heading else 1)
 
 
 class _Tree:
@@ -68,6 +87,7 @@ class _Tree:
 
     def __init__(self, page: str):
         self.tags, self.parents, self.blocks, self.dropped, self.links = ["#"], [-1], [0], [False], [False]
+        self.unlikely: dict[int, int] = {}
         self.events: list[tuple[int, str]] = []
         stack, open_tags = [0], {}
         at = 0
@@ -78,7 +98,10 @@ class _Tree:
             self.tags.append(tag)
             self.parents.append(up)
             self.blocks.append(i if tag in _BLOCK else self.blocks[up])
-            self.dropped.append(self.dropped[up] or _unlikely(tag, attrs))
+            kind = _unlikely(tag, attrs)
+            self.dropped.append(self.dropped[up] or kind == OUT)
+            if kind in (PIECE, CLASS):
+                self.unlikely[i] = kind
             self.links.append(self.links[up] or tag == "a")
             if tag not in _VOID:
                 stack.append(i)
@@ -150,6 +173,33 @@ class _Tree:
             self.end[up] = max(self.end[up], self.end[i])
         self.runs = list(self._runs())
 
+    def leave_out(self) -> bool:
+        """Drops elements by their classes. Whether any was dropped.
+
+        A piece of a class name does not drop what has an article or main with text, nor, where the page has none, what
+        has over half of its points.
+        """
+        if not self.unlikely:
+            return False
+        n = len(self.tags)
+        points, texts = [0.0] * n, [0] * n
+        for block, text, link in self.runs:
+            points[block] += _points(text, link, self.tags[block] in _HEADING)
+            texts[block] += 1
+        for i in range(n - 1, 0, -1):
+            points[self.parents[i]] += points[i]
+            texts[self.parents[i]] += texts[i]
+        whole = [False] * n  # has an article or main with text, or is one
+        for i in range(n - 1, 0, -1):
+            whole[i] = whole[i] or (self.tags[i] in ("article", "main") and texts[i] > 0)
+            whole[self.parents[i]] = whole[self.parents[i]] or whole[i]
+        out = {i for i, kind in self.unlikely.items() if kind == CLASS or not (whole[i] if whole[0] else points[i] > points[0] / 2)}
+        for i in range(1, n):
+            self.dropped[i] = self.dropped[i] or self.dropped[self.parents[i]] or i in out
+        if out:
+            self.runs = list(self._runs())
+        return bool(out)
+
     def _runs(self) -> Iterator[tuple[int, str, int]]:
         block, texts, linked = -1, [], 0
 
@@ -179,9 +229,7 @@ class _Tree:
         score: dict[int, float] = {}
         size, linked = [0] * len(self.tags), [0] * len(self.tags)
         for block, text, link in self.runs:
-            commas = len(_COMMA.findall(text))
-            points = min(1.0, len(text) / 25) + commas + min(3.0, len(text) / 100)
-            points *= (1 - link / len(text)) * (0.1 if self.tags[block] in _HEADING else 1)
+            points = _points(text, link, self.tags[block] in _HEADING)
             i, level = (self.parents[block] if self.tags[block] in _TEXT else block), 0
             while i > 0 and level < LEVELS:
                 score[i] = score.get(i, 0.0) + points / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -218,10 +266,17 @@ class _Tree:
 
 
 def main_text(page: str | None) -> str:
-    """The article of an html page: its blocks in page order, two line ends between them. Empty if there is none."""
+    """The article of an html page: its blocks in page order, two line ends between them. Empty if there is none.
+
+    If nothing is left without what classes make unlikely, classes do not count.
+    """
     if not page:
         return ""
     tree = _Tree(page)
+    return (_text(tree) or _text(_Tree(page))) if tree.leave_out() else _text(tree)
+
+
+def _text(tree: _Tree) -> str:
     kept = tree.container()
     ends = [tree.end[i] for i in kept]  # siblings, so that at most one holds a block
     return "\n\n".join(text for block, text, _ in tree.runs if (k := bisect_right(kept, block)) and block < ends[k - 1])
