@@ -12,12 +12,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
 import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,35 +37,71 @@ END = 0
 #: A lone space between two characters that are not white space starts a token of a byte-level tokenizer, whatever is around it.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _UNSAFE = re.compile(r" (?:(?<=\s )|(?<=\A )|(?=\s)|\Z)")
+_MARKS = string.punctuation
+#: Letters below it are letters to every version of Unicode that a library may have.
+_LATIN = "\u0250"
+#: Characters by which byte-level tokenizers write bytes: printable ones of Latin-1 as they are, the others from 256 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
+_SPACE = chr(_BYTES[0x20])
+#: About what a remembered piece takes beside its characters.
+_ENTRY = 190
 _encoders: dict = {}
 
 
+def _spaced(text: str) -> bool:
+    """Whether every space is a lone one between characters that are not white space, so that all of them are cuts."""
+    if "  " in text or text[:1] == " " or text[-1:] == " ":
+        return False
+    if "\n" in text:
+        if " \n" in text or "\n " in text:
+            return False
+        return text.replace("\n", "").isprintable() or not _UNSAFE.search(text)
+    return text.isprintable() or not _UNSAFE.search(text)
+
+
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     path = uri.removeprefix("file:")
     return fs.FileSystem.from_uri("file:///" + path.lstrip("/") if path.startswith("/") else uri)
 
 
+class _Known(dict):
+    """Ids by piece; what is missing is worked out by find and kept."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = self.find(piece)
+        return found
+
+
 class Encoder:
     """Ids of texts by a tokenizer file of the tokenizers library; special tokens' strings are ordinary text.
 
     With a byte-level tokenizer that neither normalizes nor adds a space, texts are cut before lone spaces, where no
-    token spans the cut, and each different piece is encoded once while it is among those remembered (keep lately used
-    ones, and those of one text). So a piece, not a text, is what the library holds at once. Other tokenizers get whole texts.
+    token spans the cut, and each different piece is encoded once while it is among those remembered (about keep bytes of
+    lately used ones, twice that at most, and those of one text). So a piece, not a text, is what the library
+    holds at once. A new piece of letters, with ASCII marks behind it, is cut once more and goes to the library's model
+    as it is. Other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 1 << 27):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         kind = json.loads(self.tokenizer.to_str())
-        before = kind.get("pre_tokenizer") or {}
+        before, model = kind.get("pre_tokenizer") or {}, kind["model"]
         self.cut = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not kind.get("normalizer")
+        self.plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        self.tokenize = self.tokenizer.model.tokenize
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.end = self._bytes([END])
-        self.keep, self.known, self.older = keep, {}, {}
+        self.singles = [self._bytes([i]) for i in range(self.tokenizer.get_vocab_size())]
+        self.end = self.singles[END]
+        self.keep, self.held, self.known, self.older, self.marks = keep, 0, _Known(self._new), {}, {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -72,51 +109,71 @@ class Encoder:
         return _encoders.get(path) or _encoders.setdefault(path, cls(path))
 
     def _bytes(self, ids: list[int]) -> bytes:
-        found = array(self.code, ids)
-        if sys.byteorder == "big":
-            found.byteswap()
-        return found.tobytes()
+        if sys.byteorder == "little":
+            return array(self.code, ids).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text as little-endian bytes, the end id behind them. A null text is empty."""
-        return next(self.all([text]))
-
-    def all(self, texts: Iterable[str | None], size: int = 1 << 21) -> Iterator[bytes]:
-        """ids() of each text. New pieces are encoded together for about size characters of texts at a time."""
-        group, held = [], 0
-        for text in texts:
-            group.append(text or "")
-            held += len(group[-1])
-            if held > size:
-                yield from self._group(group)
-                group, held = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        text = text or ""
         if not self.cut:
-            yield from (self._encode([t])[0] + self.end for t in texts)
-            return
-        parts = [[p if n == 0 else p[1:] for n, p in enumerate(_CUT.split(t))] if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        firsts = self._encode([p[0] for p in parts])
-        pieces = set()
-        for p in parts:
-            del p[0]
-            pieces.update(p)
-        known, older, new = self.known, self.older, []
-        for p in pieces.difference(known):
-            if p in older:
-                known[p] = older[p]
+            return self._encode([text])[0] + self.end
+        parts = text.split(" ") if _spaced(text) else [p if n == 0 else p[1:] for n, p in enumerate(_CUT.split(text))]
+        first = self._encode([parts[0]])[0]
+        del parts[0]
+        found = b"".join([first, *map(self.known.__getitem__, parts), self.end])
+        if self.held > self.keep:
+            self.known, self.older, self.held = _Known(self._new), self.known, 0
+        return found
+
+    def _new(self, piece: str) -> bytes:
+        """The ids of a piece behind a space that is not among the known ones."""
+        self.held += len(piece) + _ENTRY
+        found = self.older.get(piece)
+        if found is None and self.plain:
+            if piece.isalpha() and piece.isascii():  # most of them
+                found = self._model(_SPACE + piece)
             else:
-                new.append(p)
-        for at in range(0, len(new), 4096):
-            known.update(zip(new[at : at + 4096], self._encode([" " + p for p in new[at : at + 4096]])))
-        for first, rest in zip(firsts, parts):
-            yield b"".join([first, *[known[p] for p in rest], self.end])
-        if len(known) > self.keep:
-            self.known, self.older = {}, known
+                found = self._piece(piece)
+        return self._encode([" " + piece])[0] if found is None else found
+
+    def _model(self, token: str) -> bytes:
+        """The ids of one token of the pre-tokenizer, in the characters by which bytes are written."""
+        found = self.tokenize(token)
+        return self.singles[found[0].id] if len(found) == 1 else self._bytes([t.id for t in found])
+
+    def _marks(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            found = self.marks[marks] = self._model(marks.translate(_BYTES))
+        return found
+
+    def _part(self, piece: str, space: str) -> bytes | None:
+        """The ids of letters with ASCII marks behind them, after space or nothing; None if piece is something else."""
+        word = piece.rstrip(_MARKS)
+        if not word.isalpha():
+            return None
+        found = self.known.get(word) if space and len(word) < len(piece) else None
+        if not found:
+            if word.isascii():
+                found = self._model(space + word)
+            elif max(word) < _LATIN:
+                found = self._model(space + word.encode().decode("latin-1").translate(_BYTES))
+            else:
+                return None
+        return found if len(word) == len(piece) else found + self._marks(piece[len(word) :])
+
+    def _piece(self, piece: str) -> bytes | None:
+        """The ids of a piece behind a space, where lone line ends in it are tokens by themselves; None if it is something else."""
+        if "\n" not in piece:
+            return self._part(piece, _SPACE)
+        found = [self._part(p, "" if n else _SPACE) for n, p in enumerate(piece.split("\n"))]
+        return None if None in found else self._marks("\n").join(found)
 
 
 class _Writer:
@@ -202,7 +259,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, file_bytes: int = 1 << 27, fol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, made, out = Encoder.of(tokenizer), TaskContext.get().partitionId(), [], None
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.all(t.as_py() for t in batch.column(1))):
+            for key, ids in zip(batch.column(0).to_pylist(), map(encoder.ids, (t.as_py() for t in batch.column(1)))):
                 out = out or _Writer(folder, f"part-{part:06d}-{len(made):06d}.tok", encoder.width)
                 out.add(key, ids)
                 if out.ends[-1] * encoder.width >= file_bytes:
