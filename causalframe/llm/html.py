@@ -1,9 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree by one pass over its tags. Every block of text gives points for its length and its commas,
-less the share of it that is link text, to the elements around it: all to the nearest, half to the next, less to each
-further one. The element of most points, discounted by its own link density, is the container; siblings that score
-well enough are kept with it. Parts that are no article by their element or class are left out beforehand, but for
+less the share of it that is link text, to the elements around it: all to the nearest, half to the next, and half of
+that to each further one, however deep. The element of most points, discounted by its own link density, is the container, or
+the article or main around it; siblings that score well enough are kept with it, but for those of a main. Parts that are no article by their element or class are left out beforehand, but for
 classes that would take the article with them.
 """
 
@@ -46,7 +46,6 @@ _CLOSES = {
 }
 _SCOPE = {"td", "th", "table", "html", "body", "article", "section", "div"}
 _COMMA = re.compile("[,،、，;]")
-LEVELS = 6
 
 
 #: What an element's name and attributes say of it: part of the page, no part by a piece of a class, by a whole one, no part.
@@ -226,31 +225,33 @@ class _Tree:
 
     def container(self) -> list[int]:
         """The elements whose text is the article: the best container and its siblings that score well, in page order."""
-        score: dict[int, float] = {}
-        size, linked = [0] * len(self.tags), [0] * len(self.tags)
+        if not self.runs:
+            return []
+        n = len(self.tags)
+        score, size, linked = [0.0] * n, [0] * n, [0] * n
         for block, text, link in self.runs:
-            points = _points(text, link, self.tags[block] in _HEADING)
-            i, level = (self.parents[block] if self.tags[block] in _TEXT else block), 0
-            while i > 0 and level < LEVELS:
-                score[i] = score.get(i, 0.0) + points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                i, level = self.parents[i], level + 1
+            score[self.parents[block] if self.tags[block] in _TEXT else block] += _points(text, link, self.tags[block] in _HEADING)
             size[block] += len(text)
             linked[block] += link
-        if not self.runs:
-            return []
-        for i in range(len(self.tags) - 1, 0, -1):
-            size[self.parents[i]] += size[i]
-            linked[self.parents[i]] += linked[i]
+        for i in range(n - 1, 0, -1):
+            up = self.parents[i]
+            score[up] += score[i] / 2
+            size[up] += size[i]
+            linked[up] += linked[i]
         prior = {"article": 2.0, "main": 1.5}
-        real = {i: s * (1 - linked[i] / max(1, size[i])) * prior.get(self.tags[i], 1.0) for i, s in score.items()}
+        real = {i: score[i] * (1 - linked[i] / max(1, size[i])) * prior.get(self.tags[i], 1.0) for i in range(1, n) if score[i] > 0}
         if not real:
             return [0]
         best = min(real, key=lambda i: (-real[i], i))
-        up = best
-        while up > 0 and self.tags[up] != "article":
-            up = self.parents[up]
-        if up > 0:
-            best = up
+        for whole in ("article", "main"):
+            up = best
+            while up > 0 and self.tags[up] != whole:
+                up = self.parents[up]
+            if up > 0:
+                best = up
+                break
+        if self.tags[best] == "main":
+            return [best]
         least = max(10.0, 0.2 * real.get(best, 0.0))
         kept = [best]
         direct = {}
