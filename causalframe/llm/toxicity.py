@@ -134,10 +134,10 @@ def _counts(texts: DataFrame, mark: str) -> DataFrame:
     return rows.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def lexicon(texts: DataFrame, mark: str = "toxic", prior: float = 0.5, strength: float = 1000.0, least_z: float = 3.0, least_odds: float = 4.0, limit: int = 20_000) -> tuple[dict[str, int], float]:
+def lexicon(texts: DataFrame, mark: str = "toxic", prior: float = 0.5, strength: float = 1000.0, least_z: float = 3.0, least_odds: float = 4.0) -> tuple[dict[str, int], float]:
     """Scores of the units whose log-odds are significantly toxic and no less than least_odds, and the rate of the extreme-value law.
 
-    Each unit's Dirichlet prior is prior plus strength times its share of all counts. limit bounds the lexicon.
+    Each unit's Dirichlet prior is prior plus strength times its share of all counts. texts is a bounded sample, and so are the units in it.
     """
     counts = written(_counts(texts, mark), "toxic-counts")
     whole = counts.where("unit = ''").first()
@@ -149,7 +149,7 @@ def lexicon(texts: DataFrame, mark: str = "toxic", prior: float = 0.5, strength:
     delta = odds(F.col("toxic"), t) - odds(F.col("other"), o)
     z = delta / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("other") + a))
     top = counts.where("unit != '' and toxic >= 3").select("unit", "other", delta.alias("delta"), z.alias("z")).where((F.col("z") >= least_z) & (F.col("delta") >= least_odds))
-    rows = top.orderBy(F.desc("z"), "unit").limit(limit).collect()
+    rows = top.orderBy("unit").collect()
     scores = {r["unit"]: max(1, min(TOP, round(SCALE * r["delta"]))) for r in rows}
     chance = np.zeros(TOP + 1)
     for r in rows:
