@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders made for local sessions that name none, by application.
 _own: dict[str, str] = {}
@@ -46,6 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, marked for broadcasting if it is counted to have at most rows rows (of a few numbers each)."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column, in any case."""
     taken = {c.lower() for c in df.columns}

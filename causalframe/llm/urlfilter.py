@@ -3,8 +3,8 @@
 A list is a table of dated events: at a time, a pattern of a list is added or removed. A pattern is a host, which also
 covers the hosts below it, or a host and a path, which covers paths that start with its segments. Events of one pattern
 become intervals from an addition to the next removal. A capture is turned into the patterns that could cover it, of the
-depths that the list has, and each is looked up by equality, with the time in the interval; intervals are posted by the month, so that neither a
-popular host nor a pattern with a long history meets all of its partner rows.
+depths that the list has, and each is looked up by equality, with the time in the interval; the intervals of a pattern
+with a long history are posted by dyadic blocks of time, so that a capture does not meet all of them.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalframe.llm.scratch import fresh, table, written
+from causalframe.llm.scratch import fresh, small, table, written
 from causalframe.llm.shingles import let
 
 FOREVER = "9999-12-01"
+#: Dyadic levels over seconds: more than a time until FOREVER has bits.
+LEVELS = 40
 
 
 def host_of(url: Column) -> Column:
@@ -68,27 +70,45 @@ def intervals(events: DataFrame) -> DataFrame:
     return spans.where("on").drop("on")
 
 
-def _month(at: Column) -> Column:
-    return (F.year(at) * 12 + F.month(at)).cast("int")
+def _blocks(start: Column, stop: Column) -> Column:
+    """The dyadic blocks (level, place) that make up the whole numbers from start to before stop: at most two a level."""
+    found = []
+    for level in range(LEVELS):
+        lo, hi = F.shiftright(start + F.lit((1 << level) - 1), level), F.shiftright(stop, level)
+        for odd, place in ((lo, lo), (hi, hi - 1)):
+            block = F.struct(F.lit(level).alias("level"), place.alias("place"))
+            found.append(F.when((lo < hi) & (odd.bitwiseAND(F.lit(1)) == 1), block))
+    return F.filter(F.array(*found), lambda b: b.isNotNull())
 
 
-def active(captures: DataFrame, events: DataFrame, key: str = "page_id", until: str = "2100-01-01") -> DataFrame:
+def active(captures: DataFrame, events: DataFrame, key: str = "page_id", crowd: int = 64) -> DataFrame:
     """One row for each capture and list with an entry active at fetch time: its key, url, fetched_at, list, pattern and valid_from.
 
     captures: key, url, fetched_at; a capture is these three, so that each time and URL of a key has entries of its own.
     Of several active patterns of a list the longest is named. Captures with a null url or time, or a URL with no host,
-    meet nothing. Captures later than until are looked up in its month, where entries without an end are posted, too.
-    Repeated rows are looked up as one.
+    meet nothing. Repeated rows are looked up as one.
+
+    Patterns of captures that no list has are dropped first. A pattern of at most crowd intervals is joined with them; the
+    intervals of one with more are posted by the dyadic blocks of seconds that make them up, and a capture looks up the
+    block of every level that its time is in, so that it meets an interval or two of a list there.
     """
-    limit = _month(F.lit(until).cast("timestamp"))
     spans = written(intervals(events), "spans")
     shapes = spans.select(shape(F.col("pattern")).alias("d")).agg(F.collect_set("d").alias("shapes"))  # a row for each depth
-    posted = spans.withColumn("month", F.explode(F.sequence(F.least(_month(F.col("valid_from")), limit), F.least(_month(F.col("valid_to")), limit))))
+    known = written(spans.groupBy("pattern").agg(F.count("*").alias("n")), "patterns")
     whole = [key, "url", "fetched_at"]
-    looked = captures.where("url is not null and fetched_at is not null").select(*whole).distinct().crossJoin(F.broadcast(shapes))
-    looked = looked.select(*whole, F.least(_month(F.col("fetched_at")), limit).alias("month"), F.explode(patterns(F.col("url"), F.col("shapes"))).alias("pattern"))
-    inside = (looked["fetched_at"] >= posted["valid_from"]) & (looked["fetched_at"] < posted["valid_to"])
-    met = looked.join(posted, (looked["pattern"] == posted["pattern"]) & (looked["month"] == posted["month"]) & inside).select(*whole, "list", looked["pattern"], "valid_from")
+    looked = captures.where("url is not null and fetched_at is not null").select(*whole).crossJoin(F.broadcast(shapes))
+    looked = looked.select(*whole, F.explode(patterns(F.col("url"), F.col("shapes"))).alias("pattern")).join(small(known), "pattern")
+    inside = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("fetched_at") < F.col("valid_to"))
+    columns = [*whole, "list", "pattern", "valid_from"]
+    met = looked.where(F.col("n") <= crowd).join(spans, "pattern").where(inside).select(*columns)
+    crowded = known.where(F.col("n") > crowd).select("pattern")
+    if not crowded.isEmpty():
+        stop = F.unix_seconds("valid_to") + 1  # a second in which an interval ends is one of its own
+        posted = spans.join(small(crowded), "pattern", "left_semi").withColumn("block", F.explode(_blocks(F.unix_seconds("valid_from"), stop)))
+        second = F.unix_seconds("fetched_at")
+        levels = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(second, n).alias("place")) for n in range(LEVELS)])
+        hot = looked.where(F.col("n") > crowd).select(*whole, "pattern", F.explode(levels).alias("block"))
+        met = met.unionByName(hot.join(posted, ["pattern", "block"]).where(inside).select(*columns))
     best = F.max(F.struct(F.length("pattern").alias("n"), "pattern", "valid_from")).alias("best")
     return met.groupBy(*whole, "list").agg(best).select(*whole, "list", "best.pattern", "best.valid_from")
 
