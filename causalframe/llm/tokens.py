@@ -249,7 +249,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, file_bytes: int = 1 << 27, fol
 
     Manifest: file, docs, ids and base (the ids of all files before it), one row a file. Rows without a doc_id come
     first; rows of one doc_id are in the order of their texts' hashes; repeated rows stay. A null or empty text has
-    the end id alone. An empty table makes no file. doc_id is cast to long; other columns are not read.
+    the end id alone. An empty table makes no file. doc_id is cast to long, and a text that is no whole number counts as
+    none; other columns are not read.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
@@ -269,7 +270,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, file_bytes: int = 1 << 27, fol
             made.append(out.close())
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "docs", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     manifest = written(rows.mapInArrow(run, "file string, docs long, ids long"), "manifest")

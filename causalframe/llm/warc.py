@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalframe.llm.scratch import table, written
+from causalframe.llm.scratch import fresh, table, written
 
 FANOUT = 16
 RECORDS_PER_FILE = 4096
@@ -27,25 +27,32 @@ def record(key: Column, url: Column, body: Column) -> Column:
 def placed(rows: DataFrame, by: list[str], weight: str) -> DataFrame:
     """rows with ordinal (from 0, in ascending order of by, nulls first) and before (the sum of weight of all rows before).
 
-    Rows are range-partitioned and written; sums run within parts and over a table of one row a part.
+    Rows are range-partitioned and written; sums run within parts and over a table of one row a part. Columns of rows by
+    the two names are replaced.
     """
+    rows = rows.drop("ordinal", "before")
+    part, n0, w0 = (fresh(rows, n) for n in ("_part", "_n0", "_w0"))
     order = [F.col(c).asc_nulls_first() for c in by]
-    parts = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "placed")
-    ends = parts.groupBy("__part").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
-    up = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("__part", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("__n0"), F.coalesce(F.sum("w").over(up), F.lit(0)).alias("__w0"))
-    here = Window.partitionBy("__part").orderBy(*order)
+    parts = written(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "placed")
+    ends = parts.groupBy(part).agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    up = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(part, F.coalesce(F.sum("n").over(up), F.lit(0)).alias(n0), F.coalesce(F.sum("w").over(up), F.lit(0)).alias(w0))
+    here = Window.partitionBy(part).orderBy(*order)
     sums = F.coalesce(F.sum(weight).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = parts.withColumn("ordinal", F.row_number().over(here) - 1).withColumn("before", sums).join(ends, "__part")
-    return out.select(*rows.columns, (F.col("ordinal") + F.col("__n0")).cast("long").alias("ordinal"), (F.col("before") + F.col("__w0")).cast("long").alias("before"))
+    out = parts.withColumn("ordinal", F.row_number().over(here) - 1).withColumn("before", sums).join(ends, part)
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("ordinal") + F.col(n0)).cast("long").alias("ordinal"), (F.col("before") + F.col(w0)).cast("long").alias("before"))
 
 
 def in_files(rows: DataFrame, by: list[str], per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """rows (with length) laid out in files of per_file records: file, place in the file (from 0) and offset in it."""
-    spots = placed(rows, by, "length").withColumn("file", F.expr(f"ordinal div {per_file}")).withColumn("place", F.col("ordinal") % per_file)
+    """rows (with length) laid out in files of per_file records: file, place in the file (from 0) and offset in it.
+
+    Columns of rows by these names, or named ordinal or before, are replaced. An empty table gives no rows.
+    """
+    spots = placed(rows.drop("file", "place", "offset"), by, "length").withColumn("file", F.expr(f"ordinal div {per_file}")).withColumn("place", F.col("ordinal") % per_file)
     spots = written(spots, "layout")
-    starts = spots.groupBy("file").agg(F.min("before").alias("start"))
-    return spots.join(starts, "file").withColumn("offset", F.col("before") - F.col("start")).drop("before", "start", "ordinal")
+    first = fresh(spots, "_first")
+    starts = spots.groupBy("file").agg(F.min("before").alias(first))
+    return spots.join(starts, "file").withColumn("offset", F.col("before") - F.col(first)).drop("before", first, "ordinal")
 
 
 def tree(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
