@@ -76,7 +76,7 @@ def detector_stream(heartbeats: DataFrame, timeout_ms: int, suspect: float = 8.0
 
 
 def deduplicated(rows: DataFrame, keys: list[str], time: str, late: str = "10 minutes") -> DataFrame:
-    """Each key's first row within the watermark."""
+    """Each key's first row within the watermark, which starts at the epoch: rows at or before that are late, as Spark has it."""
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 

@@ -48,7 +48,7 @@ def test_detector_stream(spark, tmp_path):
 
 
 def test_windows(spark, tmp_path):
-    rows = spark.createDataFrame([("get", "k", 0), ("get", "k", 30), ("put", "k", 90), ("get", "k", 2000), ("get", "k", 2000), ("get", "z", 90000)], "op string, key string, t long").select("op", "key", F.timestamp_seconds("t").alias("ts"))
+    rows = spark.createDataFrame([("get", "k", 120), ("get", "k", 150), ("put", "k", 210), ("get", "k", 2120), ("get", "k", 2120), ("get", "z", 90120)], "op string, key string, t long").select("op", "key", F.timestamp_seconds("t").alias("ts"))
     rows.write.parquet(f"{tmp_path}/r")
     stream = lambda: spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/r")
     rates = {(r["op"], r["requests"]) for r in _run(request_rates(stream(), "ts"), "append", spark, "rates").collect()}
