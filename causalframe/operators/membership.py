@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causalframe.functions.clock import JSON_TIME
 from causalframe.schema import ALIVE, DEAD, SUSPECTED
 
 STATUS = ((ALIVE, "alive"), (SUSPECTED, "suspected"), (DEAD, "dead"))
@@ -51,13 +52,13 @@ def healthy(members: DataFrame, self_id: str | None = None) -> DataFrame:
 def intervals(heartbeats: DataFrame, keep: int = 100) -> DataFrame:
     """node_id, last_ns, n, mean_ns, sd_ns of the last keep gaps between heartbeats. heartbeats: node_id, arrival_ns.
 
-    One row a heartbeat would not be needed to know the last gaps, but each gap needs its neighbour: the window is by
-    node, and then only the last keep rows of a node go into the sums.
+    The last keep + 1 heartbeats of a node are found first, by a rank that Spark limits before the shuffle; only they are
+    sorted for gaps.
     """
     order = Window.partitionBy("node_id").orderBy("arrival_ns")
     back = Window.partitionBy("node_id").orderBy(F.desc("arrival_ns"))
-    gaps = heartbeats.withColumn("gap", F.col("arrival_ns") - F.lag("arrival_ns").over(order)).withColumn("nth", F.row_number().over(back))
-    last = gaps.where(F.col("nth") <= keep)
+    recent = heartbeats.select("node_id", "arrival_ns", F.row_number().over(back).alias("nth")).where(F.col("nth") <= keep + 1)
+    last = recent.withColumn("gap", F.col("arrival_ns") - F.lag("arrival_ns").over(order)).where(F.col("nth") <= keep)
     return last.groupBy("node_id").agg(F.max("arrival_ns").alias("last_ns"), F.count("gap").alias("n"), F.avg("gap").alias("mean_ns"), F.stddev_pop("gap").alias("sd_ns"))
 
 
@@ -124,3 +125,18 @@ def nodes_of_status(members: DataFrame, status: int) -> DataFrame:
 def node_status(scored: DataFrame, node_ids: DataFrame) -> DataFrame:
     """node_ids with phi and status; a node that is not known counts as alive."""
     return node_ids.join(scored.select("node_id", "phi", F.col("new_status").alias("status")), "node_id", "left").withColumn("status", F.coalesce("status", F.lit(ALIVE)))
+
+
+WIRE = "node_id string, address string, status int, heartbeat bigint, tokens array<bigint>, timestamp timestamp"
+
+
+def to_wire(members: DataFrame) -> DataFrame:
+    """node_id and body: each member as JSON on the wire. members: node_id, address, status, heartbeat, tokens, timestamp; missing columns are null."""
+    held = [F.col(c) if c in members.columns else F.lit(None).cast(t) for c, t in (f.split(" ", 1) for f in WIRE.split(", "))]
+    names = [f.split(" ", 1)[0] for f in WIRE.split(", ")]
+    return members.select("node_id", F.to_json(F.struct(*[c.alias(n) for c, n in zip(held, names)]), JSON_TIME).alias("body"))
+
+
+def from_wire(rows: DataFrame) -> DataFrame:
+    """Members of JSON bodies; text that is no JSON gives nulls."""
+    return rows.select(F.from_json("body", WIRE, JSON_TIME).alias("m")).select("m.*")

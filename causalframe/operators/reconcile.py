@@ -66,8 +66,10 @@ def merge_carts(versions: DataFrame) -> DataFrame:
     """key and data: JSON carts {user_id, items} merged to the union of their items and the user_id of the last version."""
     cart = F.from_json("data", "user_id string, items array<string>")
     carts = versions.select("key", "seq", cart.alias("cart"))
-    users = carts.groupBy("key").agg(F.max_by("cart.user_id", "seq").alias("user_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("cart.items")))).alias("items"))
-    return users.select("key", F.to_json(F.struct("user_id", "items")).alias("data"))
+    users = carts.groupBy("key").agg(F.max_by("cart.user_id", "seq").alias("user_id"))
+    items = carts.select("key", F.explode("cart.items").alias("item")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    both = users.join(items, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return both.select("key", F.to_json(F.struct("user_id", "items")).alias("data"))
 
 
 def stale(current: DataFrame, latest: DataFrame, by: list[str] | None = None) -> DataFrame:

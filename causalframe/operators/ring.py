@@ -7,26 +7,31 @@ window over all keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalframe.functions.hashing import RING_SIZE, position
 
-MAX_VNODES = 256
 BROADCAST_TOKENS = 500_000
 
 
-def tokens(nodes: DataFrame, vnodes: int = MAX_VNODES) -> DataFrame:
+def _character(i: Column) -> Column:
+    """The character of code point i; that of the replacement where i is no character's."""
+    valid = F.when(i.between(0xD800, 0xDFFF) | (i > 0x10FFFF), F.lit(0xFFFD)).otherwise(i)
+    return F.decode(F.unhex(F.lpad(F.hex(valid), 8, "0")), "UTF-32")
+
+
+def tokens(nodes: DataFrame, vnodes: int = 256) -> DataFrame:
     """position, node_id. nodes: node_id, and the order in which nodes joined if it has a column ord.
 
     The i-th token of a node hashes its id, a colon and the character of code point i. Of nodes with one position the
     last to join owns it.
     """
-    if not 1 <= vnodes <= MAX_VNODES:
-        raise ValueError(f"vnodes = {vnodes}: it must be from 1 to {MAX_VNODES}")
+    if vnodes < 1:
+        raise ValueError(f"vnodes = {vnodes}: it must be at least 1")
     order = F.col("ord") if "ord" in nodes.columns else F.col("node_id")
     each = nodes.select("node_id", order.alias("ord"), F.explode(F.sequence(F.lit(0), F.lit(vnodes - 1))).alias("i"))
-    spots = each.select(position(F.concat("node_id", F.lit(":"), F.expr("char(i)"))).alias("position"), "node_id", "ord")
+    spots = each.select(position(F.concat("node_id", F.lit(":"), _character(F.col("i")))).alias("position"), "node_id", "ord")
     return spots.groupBy("position").agg(F.max_by("node_id", "ord").alias("node_id"))
 
 
@@ -54,21 +59,20 @@ def ranges(ring: DataFrame) -> DataFrame:
 def preferences(ring: DataFrame, n: int) -> DataFrame:
     """position and nodes: the first n different nodes clockwise from each token, its owner first.
 
-    The ring is walked twice round by a window over its own rows; the walk is bounded by the ring, so fewer nodes than n
-    give shorter lists.
+    The ring is walked by a window over its own rows, which reaches twice as far for as long as some list is short of n
+    nodes and of all nodes; so fewer nodes than n give shorter lists, and the rows gathered are about those that are needed.
     """
-    twice = ring.select("position", "node_id", F.lit(0).alias("lap")).unionByName(ring.select("position", "node_id", F.lit(1).alias("lap")))
-    ahead = Window.orderBy("lap", "position").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    reach = Window.orderBy("lap", "position").rowsBetween(Window.currentRow, 32 * max(n, 1))
-    near = F.slice(F.array_distinct(F.collect_list("node_id").over(reach)), 1, n)
-    total = F.size(F.collect_set("node_id").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    walked = twice.select("lap", "position", near.alias("nodes"), total.alias("total"), "node_id")
-    done = walked.where("lap = 0")
-    short = done.where(F.size("nodes") < F.least(F.lit(n), F.col("total")))
-    if short.isEmpty():
-        return done.select("position", "nodes")
-    full = twice.select("lap", "position", F.slice(F.array_distinct(F.collect_list("node_id").over(ahead)), 1, n).alias("nodes"))
-    return full.where("lap = 0").select("position", "nodes")
+    facts = ring.agg(F.count("*").alias("tokens"), F.count_distinct("node_id").alias("nodes")).first()
+    wanted = min(n, facts["nodes"])
+    twice = ring.withColumn("lap", F.explode(F.array(F.lit(0), F.lit(1))))
+    reach = 4 * max(n, 1)
+    while True:
+        ahead = Window.orderBy("lap", "position").rowsBetween(Window.currentRow, min(reach, facts["tokens"]))
+        near = F.slice(F.array_distinct(F.collect_list("node_id").over(ahead)), 1, n)
+        walked = twice.select("lap", "position", near.alias("nodes")).where("lap = 0").select("position", "nodes")
+        if reach >= facts["tokens"] or walked.where(F.size("nodes") < wanted).isEmpty():
+            return walked
+        reach *= 2
 
 
 def _intervals(ring: DataFrame, columns: list[str]) -> DataFrame:
@@ -102,9 +106,14 @@ def preference_lists(keys: DataFrame, ring: DataFrame, n: int) -> DataFrame:
     return located(keys, preferences(ring, n), ["nodes"])
 
 
+def holders(keys: DataFrame, lists: DataFrame) -> DataFrame:
+    """placement() of keys by lists, the result of preferences(), which serves many calls."""
+    return located(keys, lists, ["nodes"]).select(*keys.columns, "position", F.posexplode("nodes").alias("rank", "node_id"))
+
+
 def placement(keys: DataFrame, ring: DataFrame, n: int) -> DataFrame:
     """One row for each key and replica: rank (from 0) and node_id."""
-    return preference_lists(keys, ring, n).select(*keys.columns, "position", F.posexplode("nodes").alias("rank", "node_id"))
+    return holders(keys, preferences(ring, n))
 
 
 def load(keys: DataFrame, ring: DataFrame) -> DataFrame:
