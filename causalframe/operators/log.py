@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalframe.functions.predicates import tombstone_expired
+from causalframe.functions.predicates import key_in, tombstone_expired
 from causalframe.operators.reconcile import reconcile
 
 HEADER = 32
@@ -27,6 +30,22 @@ def set_pointers(pointers: DataFrame, anew: DataFrame) -> DataFrame:
     return pointers.join(anew.select("key").distinct(), "key", "left_anti").unionByName(anew)
 
 
+def delete_keys(pointers: DataFrame, keys: DataFrame) -> DataFrame:
+    """pointers without those of the keys in keys. That of no keys, an index that is cleared, is pointers.limit(0)."""
+    return pointers.join(keys.select("key").distinct(), "key", "left_anti")
+
+
+def keys_of(pointers: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The different keys of an index, or those from start to before end."""
+    keys = pointers.select("key").distinct()
+    return keys if start is None else keys.where(key_in(F.col("key"), start, end))
+
+
+def size(pointers: DataFrame) -> DataFrame:
+    """keys and pointers: how many of both an index has."""
+    return pointers.agg(F.count_distinct("key").alias("keys"), F.count("*").alias("pointers"))
+
+
 def remove_segment(pointers: DataFrame, segment_id: int) -> DataFrame:
     return pointers.where(F.col("segment_id") != segment_id)
 
@@ -42,16 +61,33 @@ def segment_stats(log: DataFrame) -> DataFrame:
 
 
 def rotate(rows: DataFrame, segment_bytes: int, order: str = "seq", stream: str | None = None) -> DataFrame:
-    """rows (with length) with segment_no and offset: a segment is closed by the entry that would go beyond segment_bytes.
+    """order, stream, length, segment_no and offset of rows: a segment is closed by the entry that would go beyond segment_bytes.
 
-    By the running size, in whole multiples of segment_bytes: one window by stream (a writer), no fold.
+    That entry starts the next segment, behind its header; one that fits in no segment has one of its own. Where a
+    segment ends depends on all before it, so a stream (a writer; without one, all rows are of one) passes through one
+    task, sorted by Spark, of which a number is held. Entries of one place in order may come in any order.
     """
-    window = Window.partitionBy(stream) if stream else Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("length").over(window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("_before", before).withColumn("segment_no", F.floor(F.col("_before") / F.lit(segment_bytes - HEADER)))
-    keys = ([stream] if stream else []) + ["segment_no"]
-    start = F.min("_before").over(Window.partitionBy(*keys))
-    return placed.withColumn("offset", F.col("_before") - start + HEADER).drop("_before")
+    by = [stream] if stream else []
+    chosen = rows.select(*by, order, "length")
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, segment, size = object(), 0, HEADER
+        for part in parts:
+            segments, offsets = [], []
+            owners = part[stream].tolist() if stream else [None] * len(part)
+            for owner, length in zip(owners, part["length"].tolist()):
+                if owner != at:
+                    at, segment, size = owner, 0, HEADER
+                if size > HEADER and size + length > segment_bytes:
+                    segment, size = segment + 1, HEADER
+                segments.append(segment)
+                offsets.append(size)
+                size += length
+            yield part.assign(segment_no=segments, offset=offsets)
+
+    spread = chosen.repartition(*by) if by else chosen.coalesce(1)
+    return spread.sortWithinPartitions(*by, order).mapInPandas(run, ", ".join([*columns, "segment_no long", "offset long"]))
 
 
 def oldest_segments(log: DataFrame, k: int = 3) -> DataFrame:

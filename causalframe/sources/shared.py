@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -26,3 +28,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path, schema = shared_path(df.sparkSession, name), df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, marked for broadcasting if it is counted to have at most rows rows, of a few values each."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, or of a local path, and the path in it."""
+    path = uri.removeprefix("file:")
+    return fs.FileSystem.from_uri("file:///" + path.lstrip("/") if path.startswith("/") else uri)
