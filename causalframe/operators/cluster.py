@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from causalframe.config import ClusterConfig
 from causalframe.operators import membership, quorum, repair, ring
 from causalframe.operators.reconcile import contexts, reconcile
-from causalframe.sources.shared import saved
+from causalframe.sources.shared import saved, small
 
 REPLICAS = "node_id string, key string, seq long, data string, versions map<string,bigint>, ts timestamp, is_tombstone boolean"
 HINTS = "holder string, for_node string, key string, seq long, data string, versions map<string,bigint>, ts timestamp, is_tombstone boolean"
@@ -34,33 +35,56 @@ class Cluster:
         spark = members.sparkSession
         return cls(members, config, spark.createDataFrame([], REPLICAS), spark.createDataFrame([], HINTS))
 
-    @property
+    @cached_property
     def ring(self) -> DataFrame:
-        return ring.tokens(self.members, self.config.vnodes)
+        return saved(ring.tokens(self.members, self.config.vnodes), "ring")
+
+    @cached_property
+    def lists(self) -> DataFrame:
+        """The preference list of each token."""
+        return saved(ring.preferences(self.ring, self.config.n), "lists")
+
+    def _next(self, **changes: DataFrame) -> Cluster:
+        """With changes; the ring of the same members is not made anew."""
+        made = replace(self, **changes)
+        if "members" not in changes:
+            made.__dict__.update({k: v for k, v in self.__dict__.items() if k in ("ring", "lists")})
+        return made
 
     def joined(self, others: DataFrame) -> Cluster:
         """With what other members know merged in."""
-        return replace(self, members=membership.merge_members(self.members, others))
+        return self._next(members=saved(membership.merge_members(self.members, others), "members"))
+
+    def seen(self, status: DataFrame) -> Cluster:
+        """With the status of the members that status (node_id, status) names; the ring stays, as dead members keep their tokens."""
+        other = status.select(F.col("node_id").alias("_node"), F.col("status").alias("_status"))
+        members = self.members.join(other, F.col("node_id") == F.col("_node"), "left").withColumn("status", F.coalesce("_status", "status"))
+        made = replace(self, members=saved(members.select(*self.members.columns), "members"))
+        made.__dict__.update({k: v for k, v in self.__dict__.items() if k in ("ring", "lists")})
+        return made
 
     def _asked(self, keys: DataFrame) -> DataFrame:
         """keys with rank, node_id and ok (whether the node is alive) of each replica."""
         up = self.members.select("node_id", (F.col("status") == 0).alias("ok"))
-        return ring.placement(keys, self.ring, self.config.n).join(F.broadcast(up), "node_id")
+        return ring.holders(keys, self.lists).join(small(up), "node_id")
 
     def _write(self, rows: DataFrame, tombstone: bool) -> tuple[Cluster, DataFrame]:
         owners = ring.coordinators(rows, self.ring).drop("position")
         versions = saved(quorum.written_versions(owners, self.config.max_clock_size, tombstone), "writes")
-        asked = self._asked(versions.select("key", "seq").distinct()).withColumn("req_id", F.struct("key", "seq"))
+        asked = saved(self._asked(versions.select("key", "seq").distinct()).select("key", "seq", "node_id", "ok", F.struct("key", "seq").alias("req_id")), "asked")
         status = quorum.write_status(asked.select("req_id", "ok"), self.config.w).select("req_id.*", "acks", "status")
         stored = asked.where("ok").select("key", "seq", "node_id").join(versions, ["key", "seq"])
         left = quorum.hints(asked.select("req_id", "key", "node_id", "ok")).select(F.col("req_id.key").alias("key"), F.col("req_id.seq").alias("seq"), "holder", "for_node")
         hinted = self.hints.unionByName(left.join(versions, ["key", "seq"]).select("holder", "for_node", *VERSION))
-        merged = reconcile(self.replicas.unionByName(stored.select("node_id", *VERSION)), ["node_id", "key"])
-        return replace(self, replicas=saved(merged, "replicas"), hints=saved(hinted, "hints")), status
+        return self._with(stored)._next(hints=saved(hinted, "hints")), status
 
     def _with(self, sent: DataFrame) -> Cluster:
-        merged = reconcile(self.replicas.unionByName(sent.select("node_id", *VERSION)), ["node_id", "key"])
-        return replace(self, replicas=saved(merged, "replicas"))
+        """With versions put on their nodes; only the keys that a node is sent are reconciled, the others pass by."""
+        sent = saved(sent.select("node_id", *VERSION), "sent")
+        touched = sent.select("node_id", "key").distinct()
+        held = self.replicas.join(touched, ["node_id", "key"], "left_semi").unionByName(sent)
+        rest = self.replicas.join(touched, ["node_id", "key"], "left_anti").select("node_id", *VERSION)
+        return self._next(replicas=saved(rest.unionByName(reconcile(saved(held, "touched"), ["node_id", "key"]).select("node_id", *VERSION)), "replicas"))
 
     def put(self, rows: DataFrame) -> tuple[Cluster, DataFrame]:
         """(cluster, status by key and seq). rows: key, seq, data, context (null for none), ts; differ in (key, seq)."""
@@ -92,13 +116,20 @@ class Cluster:
         """With hints applied on those of their targets that are alive; the others are kept."""
         done, kept = repair.deliver(self.hints, self.members)
         sent = done.select(F.col("for_node").alias("node_id"), *VERSION)
-        return replace(self._with(sent), hints=saved(kept, "hints"))
+        return self._with(sent)._next(hints=saved(kept, "hints"))
 
     def synced(self, one: str, other: str) -> Cluster:
-        """With the keys of ranges on which two replicas differ exchanged both ways; ranges of equal Merkle roots are left alone."""
+        """With the keys on which two nodes differ exchanged both ways, in the ranges that both hold; ranges of equal Merkle roots are left alone."""
         a, b = (self.replicas.where(F.col("node_id") == n) for n in (one, other))
-        ranges = repair.differing_ranges(a, b, self.ring)
+        ranges = saved(repair.differing_ranges(a, b, saved(repair.shared_ranges(self.ring, self.lists, one, other), "shared")), "differing")
         mine, theirs = (repair.keys_in_ranges(x, ranges).select(*x.columns) for x in (a, b))
         sent = repair.push(theirs, mine).withColumn("node_id", F.lit(one)).unionByName(repair.push(mine, theirs).withColumn("node_id", F.lit(other)))
         return self._with(sent)
 
+    def local_get(self, node_id: str, keys: DataFrame) -> DataFrame:
+        """What one node itself holds of keys."""
+        return self.replicas.where(F.col("node_id") == node_id).join(keys.select("key").distinct(), "key", "left_semi").select("key", *VERSION[1:])
+
+    def local_put(self, node_id: str, versions: DataFrame) -> Cluster:
+        """With versions put on one node, as a replica is sent them."""
+        return self._with(versions.withColumn("node_id", F.lit(node_id)))

@@ -73,9 +73,14 @@ def keys_in_ranges(keys: DataFrame, ranges: DataFrame) -> DataFrame:
     return placed.join(spans, (F.shiftright(F.col("position"), 24) == F.col("bucket")) & F.col("position").between(F.col("lo"), F.col("hi"))).drop("lo", "hi", "bucket")
 
 
-def differing_ranges(local: DataFrame, remote: DataFrame, ring_tokens: DataFrame) -> DataFrame:
-    """start and stop of the ring ranges whose Merkle trees, over the digests of their keys, have different roots."""
-    spans = ranges(ring_tokens).select("start", "stop")
+def shared_ranges(ring_tokens: DataFrame, lists: DataFrame, one: str, other: str) -> DataFrame:
+    """start and stop of the ring ranges that two nodes both hold. lists: the result of ring.preferences()."""
+    both = lists.where(F.array_contains("nodes", one) & F.array_contains("nodes", other)).select(F.col("position").alias("stop"))
+    return ranges(ring_tokens).select("start", "stop").join(both, "stop").select("start", "stop")
+
+
+def differing_ranges(local: DataFrame, remote: DataFrame, spans: DataFrame) -> DataFrame:
+    """start and stop of the ring ranges in spans whose Merkle trees, over the digests of their keys, have different roots."""
     trees = []
     for versions in (local, remote):
         placed = keys_in_ranges(key_digests(versions), spans)
