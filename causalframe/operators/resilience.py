@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causalframe.functions.predicates import retryable
@@ -27,6 +27,19 @@ class RetryConfig:
     initial_ms: float = 100.0
     multiplier: float = 2.0
     max_ms: float = 5_000.0
+    jitter: float = 0.2
+
+
+def jittered(wait_ms: Column, draw: Column, config: RetryConfig = RetryConfig()) -> Column:
+    """A wait moved by up to its share config.jitter either way, as draw (0 to 1) says, then cut to be from 0 to config.max_ms."""
+    moved = wait_ms + (draw * 2 - 1) * wait_ms * F.lit(config.jitter)
+    return F.greatest(F.lit(0.0), F.least(F.lit(config.max_ms), moved))
+
+
+def waits(attempts: DataFrame, config: RetryConfig = RetryConfig(), seed: int = 0) -> DataFrame:
+    """attempts (req_id, attempt from 0) with wait_ms, the jittered wait behind each; chance is a seeded hash of both, so that reruns agree."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "req_id", "attempt")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return attempts.withColumn("wait_ms", jittered(F.lit(config.initial_ms) * F.pow(F.lit(config.multiplier), F.col("attempt")), draw, config))
 
 
 def backoff(spark: SparkSession, config: RetryConfig = RetryConfig()) -> DataFrame:
@@ -112,7 +125,43 @@ def breaker_states(events: DataFrame, config: BreakerConfig = BreakerConfig()) -
     return rows.repartition("address").sortWithinPartitions("address", "ts_ns", "seq").mapInPandas(run, OUTPUT)
 
 
+def resets(events: DataFrame, ts_ns: Column, seq: Column) -> DataFrame:
+    """An event that resets the breaker of each address of events, at a time and place: what resetting all of them feeds."""
+    at = events.select("address").distinct().where("address is not null")
+    return at.select("address", ts_ns.cast("long").alias("ts_ns"), seq.cast("long").alias("seq"), F.lit("reset").alias("event"))
+
+
 def breaker_stats(states: DataFrame) -> DataFrame:
     """address, state and failures now, and requests rejected."""
     last = states.groupBy("address").agg(F.max_by(F.struct("state", "failures"), "seq").alias("last"), F.count_if(~F.coalesce("allowed", F.lit(True))).alias("rejected"))
     return last.select("address", "last.state", "last.failures", "rejected")
+
+
+EXECUTED = "req_id long, address string, allowed boolean, ok boolean, tries int, error string, state string"
+
+
+def through_breaker(attempts: DataFrame, retry: RetryConfig = RetryConfig(), config: BreakerConfig = BreakerConfig()) -> DataFrame:
+    """req_id, address, allowed, ok, tries, error and state after it of requests that are retried behind their address's breaker.
+
+    attempts: req_id, address, ts_ns (the same for all of a request), attempt, ok, error. The breaker is asked once, before
+    the first attempt, and told what retrying came to; a request that it refuses makes no attempt and fails as
+    circuit_open. Requests of an address stream through one task in order of time and id.
+    """
+
+    def run(parts):
+        address, machine = None, None
+        for part in parts:
+            out = []
+            for row in part.itertuples(index=False):
+                if row.address != address:
+                    address, machine = row.address, Breaker(config)
+                allowed = machine.feed("allow", row.ts_ns)
+                if allowed:
+                    machine.feed("success" if row.ok else "failure", row.ts_ns)
+                out.append((row.req_id, address, allowed, allowed and row.ok, row.tries if allowed else 0, row.error if allowed else "circuit_open", machine.state))
+            yield pd.DataFrame(out, columns=["req_id", "address", "allowed", "ok", "tries", "error", "state"])
+
+    asked = attempts.groupBy("req_id").agg(F.min("address").alias("address"), F.min("ts_ns").alias("ts_ns"))
+    rows = retry_outcomes(attempts, retry).join(asked, "req_id").where("address is not null")
+    rows = rows.select("req_id", "address", "ts_ns", "ok", F.col("tries").cast("int").alias("tries"), "error")
+    return rows.repartition("address").sortWithinPartitions("address", "ts_ns", "req_id").mapInPandas(run, EXECUTED)

@@ -69,15 +69,20 @@ def exposition(series: DataFrame, help_text: dict[str, str]) -> DataFrame:
     return lines.select("metric", place.alias("place"), "line")
 
 
-def histogram_lines(buckets: DataFrame) -> DataFrame:
-    """metric, place, line: the text format of histograms. buckets: the result of histogram()."""
+def bucket_lines(buckets: DataFrame) -> DataFrame:
+    """metric, labels, i, line: the lines of histograms, in order of labels and i. buckets: the result of histogram()."""
     le = F.concat(F.lit('le="'), "le", F.lit('"}'))
     inserted = F.when(F.col("labels") == "", F.concat(F.lit("{"), le)).otherwise(F.concat(F.expr("substring(labels, 1, length(labels) - 1)"), F.lit(","), le))
     bucket = buckets.select("metric", "labels", F.col("i"), F.concat("metric", F.lit("_bucket"), inserted, F.lit(" "), F.col("count").cast("string")).alias("line"))
     once = buckets.where("le = '+Inf'")
     total = once.select("metric", "labels", (F.col("i") + 1).alias("i"), F.concat("metric", F.lit("_sum"), "labels", F.lit(" "), number(F.col("sum"))).alias("line"))
     count = once.select("metric", "labels", (F.col("i") + 2).alias("i"), F.concat("metric", F.lit("_count"), "labels", F.lit(" "), F.col("total").cast("string")).alias("line"))
-    lines = bucket.unionByName(total).unionByName(count)
+    return bucket.unionByName(total).unionByName(count)
+
+
+def histogram_lines(buckets: DataFrame) -> DataFrame:
+    """metric, place, line: the text format of histograms. buckets: the result of histogram()."""
+    lines = bucket_lines(buckets)
     return lines.select("metric", F.row_number().over(Window.partitionBy("metric").orderBy("labels", "i")).alias("place"), "line")
 
 
@@ -154,3 +159,9 @@ def admission(samples: DataFrame, checks: DataFrame, threshold_ns: int = 100_000
     rows = samples.select("node_id", "seq", F.lit(0).alias("kind"), "latency_ns").unionByName(checks.select("node_id", "seq", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("latency_ns")))
     rows = rows.where("node_id is not null and latency_ns is not null")
     return rows.repartition("node_id").sortWithinPartitions("node_id", "seq", "kind").mapInPandas(run, ADMISSION)
+
+
+def admission_stats(checked: DataFrame, most: int = 10) -> DataFrame:
+    """node_id, slots, max_slots, throttled and p99 after the last check of each node. checked: the result of admission()."""
+    last = checked.groupBy("node_id").agg(F.max_by(F.struct("slots", "throttle", "p99"), "seq").alias("l"))
+    return last.select("node_id", "l.slots", F.lit(most).alias("max_slots"), F.col("l.throttle").alias("throttled"), "l.p99")

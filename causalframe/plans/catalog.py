@@ -6,6 +6,7 @@ A query is declared next to its SQL. Outputs are scalar columns: clocks as text,
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +14,16 @@ from pyspark.sql import Window
 
 from causalframe.config import DAY_US
 from causalframe.functions import clock
-from causalframe.functions.predicates import retryable, tombstone_expired
+from causalframe.functions.hashing import position
+from causalframe.functions.predicates import tombstone_expired
 from causalframe.operators import log as logs
-from causalframe.operators import membership, merkle, quorum, repair, resilience, ring, telemetry
+from causalframe.operators import collector, membership, merkle, quorum, repair, resilience, ring, telemetry
 from causalframe.operators.cluster import Cluster
 from causalframe.operators.reconcile import contexts, last_write_wins, merge_carts, reconcile, reconcile_with
 from causalframe.operators.store import Store, sweep
 from causalframe.plans import fixtures as fx
 from causalframe.sources import wire
+from causalframe.sources.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,15 +75,6 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(name: str, *cut: str) -> str:
-    """SQL of a query over a part of its table, with the text that limits it cut out."""
-    sql = ORACLE_SQL[name]
-    for text in cut:
-        assert sql.count(text) == 1, (name, text)
-        sql = sql.replace(text, "")
-    return sql
-
-
 def _store(spark, d) -> Store:
     return Store(reconcile(fx.kv(spark, d)))
 
@@ -135,13 +129,8 @@ def kv_live_values(spark, d):
     return Store(fx.kv(spark, d), "log").range("user:", "user;").groupBy("key").agg(F.count("*").alias("live"), F.sum("seq").alias("ids"))
 
 
-@query("select concat('user:', cast(user_id as varchar)) as key, count(*) as live from events where event_type != 'error' group by user_id having user_id % 5 = 2")
+@query("select concat('user:', cast(user_id as varchar)) as key, count(*) as live from events where event_type != 'error' group by user_id")
 def kv_log_delete(spark, d):
-    return _log_delete(spark, d, _keys(spark, d).where("cast(substring(key, 6) as long) % 5 = 2"))
-
-
-@query(whole("kv_log_delete", " having user_id % 5 = 2"))
-def kv_log_delete_all(spark, d):
     return _log_delete(spark, d, _keys(spark, d))
 
 
@@ -219,15 +208,10 @@ def app_reconcile(spark, d):
     return reconcile_with(reconcile(fx.kv(spark, d)), "+".join)
 
 
-@query("""with c as (select o_custkey % 100 as k, o_orderkey, o_custkey, concat('p', l_partkey) as item from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 5 = 0),
+@query("""with c as (select o_custkey % 100 as k, o_orderkey, o_custkey, concat('p', l_partkey) as item from orders join lineitem on l_orderkey = o_orderkey),
 i as (select distinct k, item from c), u as (select k, cast(arg_max(o_custkey, o_orderkey) as varchar) as u from c group by k)
 select concat('cart:', k) as key, concat('{"user_id":"', any_value(u), '","items":[', string_agg(concat('"', item, '"'), ',' order by item), ']}') as data from i join u using (k) group by k""")
 def cart_merge(spark, d):
-    return _carts(spark, d, fx.table(spark, d, "orders").where("o_orderkey % 5 = 0"))
-
-
-@query(whole("cart_merge", " where o_orderkey % 5 = 0"))
-def cart_merge_all(spark, d):
     return _carts(spark, d, fx.table(spark, d, "orders"))
 
 
@@ -300,17 +284,12 @@ def quorum_get(spark, d):
     return quorum.read_status(fx.responses(spark, d), 2)
 
 
-@query(RESP + REPL.replace("with e as", ", e as", 1) + f""", f as (select *, row_number() over (partition by req_id order by arrival_ns, node_id) as k from rs where ok and n_values > 0 and req_id % 50 = 0),
+@query(RESP + REPL.replace("with e as", ", e as", 1) + f""", f as (select *, row_number() over (partition by req_id order by arrival_ns, node_id) as k from rs where ok and n_values > 0),
 g as (select * from f where k <= 2 and req_id in (select req_id from f where k = 2)), v as (select g.req_id, rep.* from g join rep on rep.key = g.key and rep.node_id = g.node_id),
 s as (select * from v a where not exists (select 1 from v b where b.req_id = a.req_id and {STRICT})), c as (select req_id, max(n0) as a, max(n1) as b, max(n2) as c from v group by req_id)
 select req_id, count(*) as n_values, count(distinct clock) as n_clocks, cast(sum(seq) as bigint) as ids, any_value(concat_ws(',', case when c.a > 0 then concat('node0=', c.a) end, case when c.b > 0 then concat('node1=', c.b) end, case when c.c > 0 then concat('node2=', c.c) end)) as context
 from s join c using (req_id) group by req_id""")
 def quorum_get_values(spark, d):
-    return _values(spark, d, fx.responses(spark, d, 50))
-
-
-@query(whole("quorum_get_values", " and req_id % 50 = 0"))
-def quorum_get_values_all(spark, d):
     return _values(spark, d, fx.responses(spark, d))
 
 
@@ -328,13 +307,8 @@ def quorum_put(spark, d):
 
 
 @query(KV + """ select key, seq, concat_ws(',', case when n0 + (node_id = 'node0')::int > 0 then concat('node0=', n0 + (node_id = 'node0')::int) end, case when n1 + (node_id = 'node1')::int > 0 then concat('node1=', n1 + (node_id = 'node1')::int) end,
-case when n2 + (node_id = 'node2')::int > 0 then concat('node2=', n2 + (node_id = 'node2')::int) end) as clock, true as is_tombstone from kv where seq % 3 = 1""")
+case when n2 + (node_id = 'node2')::int > 0 then concat('node2=', n2 + (node_id = 'node2')::int) end) as clock, true as is_tombstone from kv""")
 def quorum_delete(spark, d):
-    return _deleted(fx.kv(spark, d).where("seq % 3 = 1"))
-
-
-@query(whole("quorum_delete", " where seq % 3 = 1"))
-def quorum_delete_all(spark, d):
     return _deleted(fx.kv(spark, d))
 
 
@@ -405,15 +379,10 @@ def request_metrics(spark, d):
     return quorum.request_metrics(rows).select("op", "requests", "failures", F.round("mean_ms", 6).alias("mean_ms"), F.round("max_ms", 2).alias("max_ms"))
 
 
-@query("""with e as (select concat('user:', cast(user_id as varchar)) as key, props, event_type = 'error' as gone from events where event_id % 3 = 0)
+@query("""with e as (select concat('user:', cast(user_id as varchar)) as key, props, event_type = 'error' as gone from events)
 select key, 'ok' as status, count(distinct case when not gone then props end) + max(gone::int) as n, max(gone::int) as tombs from e group by key""")
 def cluster_put_get(spark, d):
     """Blind writes of one coordinator have equal clocks, so that all different ones are siblings; one node of five is down."""
-    return _put_get(spark, fx.kv(spark, d).where("seq % 3 = 0"))
-
-
-@query(whole("cluster_put_get", " where event_id % 3 = 0"))
-def cluster_put_get_all(spark, d):
     return _put_get(spark, fx.kv(spark, d))
 
 
@@ -427,6 +396,100 @@ def _put_get(spark, versions: DataFrame) -> DataFrame:
     return found.join(counts, "key").select("key", "status", "n", "tombs")
 
 
+WALK5 = WALK.replace("range(10)", "range(5)").replace("range(64)", "range(256)")
+HELD5 = WALK5 + ", hl as (select co.key, pl.node_id from co join pl on pl.position = co.token), ev as (select concat('user:', cast(user_id as varchar)) as key, event_id, props, event_type = 'error' as gone from events)"
+
+
+def _members5(spark, down: int | None = 4) -> DataFrame:
+    status = (F.col("ord") == down).cast("int") if down is not None else F.lit(0)
+    return fx.nodes(spark, 5).select("node_id", "ord", status.alias("status"), F.lit(1).cast("long").alias("heartbeat"))
+
+
+def _written5(spark, d) -> Cluster:
+    """All events put or deleted blindly while node4 is down."""
+    rows = fx.kv(spark, d).withColumn("context", F.lit(None).cast("map<string,bigint>")).select("key", "seq", "data", "context", "ts", "is_tombstone")
+    up, _ = Cluster.start(_members5(spark)).put(rows.where("not is_tombstone"))
+    return up.delete(rows.where("is_tombstone"))[0]
+
+
+def _up5(spark) -> DataFrame:
+    return _members5(spark, None).select("node_id", "status")
+
+
+def _held5(cluster: Cluster) -> DataFrame:
+    return cluster.replicas.groupBy("node_id").agg(F.count_distinct("key").alias("n_keys"), F.count("*").alias("n_values"))
+
+
+@query(HELD5 + " select node_id, count(distinct key) as n_keys, count(*) as n_values, cast(0 as bigint) as hints from hl join ev using (key) group by node_id")
+def cluster_hints(spark, d):
+    """Hints are delivered when the node that was down is back: it then has all that it missed, and no hint is left."""
+    back = _written5(spark, d).seen(_up5(spark)).hints_delivered()
+    left = back.hints.groupBy(F.col("for_node").alias("node_id")).agg(F.count("*").alias("hints"))
+    return _held5(back).join(left, "node_id", "left").withColumn("hints", F.coalesce("hints", F.lit(0).cast("long")))
+
+
+@query(HELD5 + """ select node_id, count(distinct key) as n_keys, case when node_id = 'node4' then count(distinct (key, gone, case when gone then '' else props end)) else count(*) end as n_values
+from hl join ev using (key) group by node_id""")
+def cluster_repair(spark, d):
+    """The node that was down is back without hints: reads repair it with each different version once."""
+    up = _written5(spark, d).seen(_up5(spark))
+    return _held5(up.read_repaired(_keys(spark, d)))
+
+
+def _apart5(spark, d) -> Cluster:
+    """Replicas of all versions on the nodes that hold them, without those of seq modulo 7 that is the node's number."""
+    up = Cluster.start(_members5(spark, None))
+    placed = ring.holders(fx.kv(spark, d).withColumnRenamed("node_id", "writer"), up.lists)
+    some = placed.where(F.col("seq") % 7 != F.substring("node_id", 5, 9).cast("long"))
+    return up._next(replicas=up.replicas.unionByName(reconcile(some, ["node_id", "key"]).select(*up.replicas.columns)))
+
+
+@query(KV.replace("with e as", WALK5 + ", e as", 1) + f""", hl as (select co.key, pl.node_id from co join pl on pl.position = co.token),
+rp as (select kv.* exclude (node_id), hl.node_id from kv join hl using (key) where seq % 7 != cast(substr(hl.node_id, 5) as bigint)),
+rs as (select * from rp a where not exists (select 1 from rp b where b.key = a.key and b.node_id = a.node_id and {STRICT})),
+sh as (select x.key from hl x join hl y using (key) where x.node_id = 'node0' and y.node_id = 'node1'),
+more as (select a.* exclude (node_id), o.other as node_id from rs a join sh using (key) join (values ('node0', 'node1'), ('node1', 'node0')) o(one, other) on o.one = a.node_id
+where not exists (select 1 from rs b where b.key = a.key and b.node_id = o.other and {COVER})),
+al as (select key, node_id, seq, n0, n1, n2 from rs union all select key, node_id, seq, n0, n1, n2 from more),
+sv as (select * from al a where not exists (select 1 from al b where b.key = a.key and b.node_id = a.node_id and {STRICT}))
+select node_id, count(distinct key) as n_keys, count(*) as n_values, cast(sum(seq) as bigint) as ids from sv group by node_id""")
+def cluster_sync(spark, d):
+    """Two nodes exchange what differs in the ranges that both hold; the other nodes stay as they are."""
+    done = _apart5(spark, d).synced("node0", "node1")
+    return done.replicas.groupBy("node_id").agg(F.count_distinct("key").alias("n_keys"), F.count("*").alias("n_values"), F.sum("seq").alias("ids"))
+
+
+@query(WALK5.replace("range(5)", "range(6)") + " select pl.node_id, pl.rank, pl.node_id != 'node2' as ok, count(*) as n_keys from co join pl on pl.position = co.token group by pl.node_id, pl.rank")
+def cluster_join(spark, d):
+    """A sixth node joins by gossip, which also brings news of node2: keys are asked of the members and ring after that."""
+    news = spark.createDataFrame([("node5", 5, 0, 1), ("node2", 2, 1, 7), ("node3", 3, 2, 0)], "node_id string, ord long, status int, heartbeat long")
+    asked = Cluster.start(_members5(spark, None)).joined(news)._asked(_keys(spark, d))
+    return asked.groupBy("node_id", "rank", "ok").agg(F.count("*").alias("n_keys"))
+
+
+@query(REPL + f", a0 as (select * from rep where node_id = 'node0'), s as (select * from kv a where not exists (select 1 from kv b where b.key = a.key and {STRICT})) select key, count(*) as siblings, cast(sum(seq) as bigint) as ids from s group by key")
+def hints_apply(spark, d):
+    """The versions that node0 lacks reach it as hints."""
+    rows = fx.replicas(fx.kv(spark, d))
+    missing = fx.kv(spark, d).where("seq % 7 = 0").select("key", "seq", "data", "versions", "ts", "is_tombstone")
+    done = repair.apply_hints(rows.where("node_id = 'node0'").select(*missing.columns), missing)
+    return done.groupBy("key").agg(F.count("*").alias("siblings"), F.sum("seq").alias("ids"))
+
+
+@query(REPL + " select distinct key from rep where node_id = 'node0' and seq % 2 = 0 or node_id = 'node1' and seq % 3 = 0")
+def full_exchange(spark, d):
+    rows = fx.replicas(fx.kv(spark, d))
+    return repair.full_exchange(rows.where("node_id = 'node0' and seq % 2 = 0"), rows.where("node_id = 'node1' and seq % 3 = 0"))
+
+
+@query("""with t as (select s_name as node_id, cast(concat('0x', substr(md5(concat(s_name, x)), 1, 8)) as bigint) as position from supplier, (values ('a'), ('b')) v(x)), r as (select position, max(node_id) as node_id from t group by position)
+select position, node_id from r""")
+def ring_explicit(spark, d):
+    s = fx.table(spark, d, "supplier")
+    given = s.select(F.col("s_name").alias("node_id"), F.array(*[position(F.concat("s_name", F.lit(x))) for x in "ab"]).alias("tokens"))
+    return ring.explicit_tokens(given)
+
+
 # Merkle trees and anti-entropy
 
 
@@ -444,10 +507,69 @@ def merkle_leaves(spark, d):
     return merkle.leaves(_leaf_rows(spark, d))
 
 
-@query()
-def merkle_root(spark, d):
+DEPTH = 12
+
+
+def folded(leaves: str, name: str) -> str:
+    """Tables name0 to name12 of the nodes (tree, lo, hi, hash) of each level of the trees of a table of leaves (tree, i, n, hash), the roots first."""
+    parts = [f"{name}_0 as (select tree, i, hash, cast(0 as bigint) as lo0, n as hi0 from {leaves})"]
+    for k in range(1, DEPTH + 1):
+        lo, hi = f"lo{k - 1}", f"hi{k - 1}"
+        middle = f"({lo} + ({hi} - {lo}) // 2)"
+        parts.append(f"{name}_{k} as (select *, case when {hi} - {lo} <= 1 or i < {middle} then {lo} else {middle} end as lo{k}, case when {hi} - {lo} <= 1 or i >= {middle} then {hi} else {middle} end as hi{k} from {name}_{k - 1})")
+    parts.append(f"{name}p as materialized (select * from {name}_{DEPTH})")
+    parts.append(f"{name}{DEPTH} as materialized (select tree, i as lo, i + 1 as hi, hash from {name}p)")
+    for k in range(DEPTH - 1, -1, -1):
+        parts.append(f"""{name}{k} as materialized (select a.tree, a.lo, a.hi, case when a.hi - a.lo = 1 then l.hash else sha256(concat(l.hash, r.hash)) end as hash from (select distinct tree, lo{k} as lo, hi{k} as hi from {name}p) a
+join {name}{k + 1} l on l.tree = a.tree and l.lo = a.lo left join {name}{k + 1} r on r.tree = a.tree and a.hi - a.lo > 1 and r.lo = a.lo + (a.hi - a.lo) // 2)""")
+    return ", ".join(parts)
+
+
+def descended(mine: str, theirs: str) -> str:
+    """Tables d0 to d12 of the pairs of nodes that differ, by level, of two folded() tables."""
+    nodes = lambda name: " union ".join(f"select * from {name}{k}" for k in range(DEPTH + 1))
+    parts = [f"an as materialized ({nodes(mine)}), bn as materialized ({nodes(theirs)})"]
+    parts.append(f"s0 as (select a.tree, a.lo as la, a.hi as ha, b.lo as lb, b.hi as hb from {mine}0 a join {theirs}0 b using (tree))")
+    for k in range(DEPTH + 1):
+        if k:
+            halves = "select tree, la, la + (ha - la) // 2 as ha, lb, lb + (hb - lb) // 2 as hb from d{0} where ha - la > 1 and hb - lb > 1 union all select tree, la + (ha - la) // 2, ha, lb + (hb - lb) // 2, hb from d{0} where ha - la > 1 and hb - lb > 1"
+            parts.append(f"s{k} as ({halves.format(k - 1)})")
+        parts.append(f"d{k} as materialized (select s.* from s{k} s join an a on a.tree = s.tree and a.lo = s.la and a.hi = s.ha join bn b on b.tree = s.tree and b.lo = s.lb and b.hi = s.hb where a.hash != b.hash)")
+    return ", ".join(parts)
+
+
+def _event_leaves(name: str, value: str = "props", only: str = "true") -> str:
+    return f"""{name} as (select user_id % 40 as tree, cast(event_id as varchar) as key, sha256(concat(cast(event_id as varchar), {value})) as hash, row_number() over (partition by user_id % 40 order by cast(event_id as varchar)) - 1 as i,
+count(*) over (partition by user_id % 40) as n from events where {only})"""
+
+
+def _event_rows(spark, d):
     e = fx.table(spark, d, "events")
-    return merkle.roots(e.select((F.col("user_id") % 40).alias("tree"), F.col("event_id").cast("string").alias("key"), F.col("props").alias("value")))
+    return e.select((F.col("user_id") % 40).alias("tree"), F.col("event_id").cast("string").alias("key"), F.col("props").alias("value"))
+
+
+@query("with " + _event_leaves("lf") + ", " + folded("lf", "h") + " select tree, hi as n, hash as root from h0")
+def merkle_root(spark, d):
+    return merkle.roots(_event_rows(spark, d))
+
+
+CHANGED = "case when event_id % 97 = 3 then concat(props, 'x') else props end"
+
+
+@query("with " + _event_leaves("lf", CHANGED) + ", " + _event_leaves("rf", only="event_id % 53 != 7 or user_id % 40 < 20") + ", " + folded("lf", "h") + ", " + folded("rf", "g") + ", " + descended("h", "g")
+       + " select x.tree, x.la as i, lf.key from (" + " union all ".join(f"select tree, la from d{k} where ha - la = 1" for k in range(DEPTH + 1)) + ") x join lf on lf.tree = x.tree and lf.i = x.la")
+def merkle_descent(spark, d):
+    """Trees below 20 have the same keys on both sides; of the others the remote lacks some, so that places are not those of the same keys."""
+    rows = _event_rows(spark, d)
+    mine = rows.withColumn("value", F.when(F.col("key").cast("long") % 97 == 3, F.concat("value", F.lit("x"))).otherwise(F.col("value")))
+    return merkle.positional_diff(mine, rows.where("cast(key as long) % 53 != 7 or tree < 20"))
+
+
+@query("with " + _event_leaves("lf", CHANGED, "event_id % 31 != 4") + ", " + folded("lf", "h") + " select tree, hi as n, hash as root from h0")
+def merkle_update_delete(spark, d):
+    rows = _event_rows(spark, d)
+    changed = rows.where("cast(key as long) % 97 = 3").withColumn("value", F.concat("value", F.lit("x")))
+    return merkle.roots(merkle.delete(merkle.update(rows, changed), rows.where("cast(key as long) % 31 = 4")))
 
 
 @query(LEAF + """, h as (select tree, max(n) as n, max(hash) filter (where i = 0) as a, max(hash) filter (where i = 1) as b, max(hash) filter (where i = 2) as c, max(hash) filter (where i = 3) as d, max(hash) filter (where i = 4) as e from lf group by tree)
@@ -511,6 +633,37 @@ def gossip_merge(spark, d):
     return membership.merge_members(fx.members(spark, d), fx.members(spark, d, 5).where("cast(substring(node_id, 10) as long) % 4 != 1"))
 
 
+@query(MEMB + """ select node_id, address, status, heartbeat from m0 where node_id not in (select node_id from m1) union all select node_id, address, status, heartbeat from m1""")
+def member_add(spark, d):
+    """Members that are set, whatever their heartbeat."""
+    return membership.add_member(fx.members(spark, d), fx.members(spark, d, 5).where("cast(substring(node_id, 10) as long) % 4 != 1"))
+
+
+@query(MEMB + " select node_id, heartbeat from m0 where status = 0 or node_id = 'Supplier#000000002'")
+def member_healthy(spark, d):
+    return membership.healthy(fx.members(spark, d), "Supplier#000000002").select("node_id", "heartbeat")
+
+
+@query(MEMB + ", up as (select node_id, row_number() over (order by md5(concat('3|7|', node_id)), node_id) as r, count(*) over () as n from m0 where status = 0) select a.node_id, b.node_id as peer from up a join up b on b.r = a.r % a.n + 1 where a.node_id != b.node_id")
+def gossip_pairs(spark, d):
+    return membership.gossip_pairs(fx.members(spark, d), 7, seed=3)
+
+
+@query(MEMB + """ select node_id, concat('{"node_id":"', node_id, '","address":"', address, '","status":', status, ',"heartbeat":', heartbeat, ',"tokens":[', s_suppkey, '],"timestamp":"2024-02-15T00:00:00.000000Z"}') as body from m0""")
+def member_wire(spark, d):
+    return membership.to_wire(_wired(spark, d))
+
+
+@query(MEMB + " select node_id, address, status, heartbeat, s_suppkey as token from m0")
+def member_wire_back(spark, d):
+    back = membership.from_wire(membership.to_wire(_wired(spark, d)))
+    return back.select("node_id", "address", "status", "heartbeat", F.col("tokens")[0].alias("token"))
+
+
+def _wired(spark, d):
+    return fx.members(spark, d).withColumn("tokens", F.array(F.substring("node_id", 10, 9).cast("long"))).withColumn("timestamp", F.expr(NOW).cast("timestamp"))
+
+
 @query("""with c as (select cast(s_suppkey % 2 as int) as status, count(*) as n from supplier group by 1)
 select name as status, coalesce(n, 0) as members from (values (0, 'alive'), (1, 'suspected'), (2, 'dead')) t(status, name) left join c using (status)""")
 def member_counts(spark, d):
@@ -525,17 +678,15 @@ def heartbeat_intervals(spark, d):
 
 
 SILENCE = "(1706745600000000000 + 60000000000 * (cast(substr(node_id, 5) as bigint) * 7))"
-PHI = BEATS.replace("from events)", "from events where event_id % 3 = 0)") + """, z as (select *, (last_ns + 300000000000 * cast(substr(node_id, 5) as bigint) - last_ns - mean_ns) / (greatest(sd_ns, 1e7) * sqrt(2)) as y from h),
+PHI = BEATS + """, z as (select *, (last_ns + 300000000000 * cast(substr(node_id, 5) as bigint) - last_ns - mean_ns) / (greatest(sd_ns, 1e7) * sqrt(2)) as y from h),
 t as (select *, 1 / (1 + 0.3275911 * abs(y)) as t from z),
 f as (select *, case when y < 0 then -1 else 1 end * (1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-y * y)) as erf from t),
 p as (select node_id, abs(log10(1 - least(0.5 * (1 + erf), 0.9999))) as phi from f)"""
 
 
-def _phi(spark, d, only: str = "event_id % 3 = 0"):
-    e = fx.table(spark, d, "events").where(only)
-    beats = e.select(F.concat(F.lit("node"), (F.col("event_id") % 7).cast("string")).alias("node_id"), (fx.micros(F.col("ts")) * 1000).alias("arrival_ns"))
+def _phi(spark, d):
     now = F.col("last_ns") + F.lit(300_000_000_000) * F.substring("node_id", 5, 9).cast("long")
-    return membership.phi(membership.intervals(beats), now, 5_000_000_000)
+    return membership.phi(membership.intervals(fx.heartbeats(spark, d)), now, 5_000_000_000)
 
 
 @query(PHI + " select node_id, round(phi, 5) + 0.0 as phi from p")
@@ -548,14 +699,22 @@ def failure_status(spark, d):
     return membership.with_status(_phi(spark, d), 0.5, 3.0).select("node_id", "new_status")
 
 
-@query(whole("phi", " where event_id % 3 = 0"))
-def phi_all(spark, d):
-    return _phi(spark, d, "true").select("node_id", (F.round("phi", 5) + F.lit(0.0)).alias("phi"))
+@query(PHI + " select node_id, cast(0 as int) as new_status from p")
+def failure_status_defaults(spark, d):
+    """At the default thresholds a node with a history is never suspected, as its phi is cut at 4."""
+    return membership.with_status(_phi(spark, d)).select("node_id", "new_status")
 
 
-@query(whole("failure_status", " where event_id % 3 = 0"))
-def failure_status_all(spark, d):
-    return membership.with_status(_phi(spark, d, "true"), 0.5, 3.0).select("node_id", "new_status")
+@query(PHI + ", f2 as (select node_id, cast(case when phi >= 3 then 2 when phi >= 0.5 then 1 else 0 end as int) as status from p) select node_id from f2 where status = 2")
+def nodes_dead(spark, d):
+    rows = membership.with_status(_phi(spark, d), 0.5, 3.0).withColumn("status", F.col("new_status"))
+    return membership.nodes_of_status(rows, 2).select("node_id")
+
+
+@query(PHI + ", f2 as (select node_id, cast(case when phi >= 3 then 2 when phi >= 0.5 then 1 else 0 end as int) as status from p) select concat('node', i) as node_id, coalesce(status, 0) as status from range(12) t(i) left join f2 on f2.node_id = concat('node', i)")
+def node_status(spark, d):
+    """Of nodes that were never heard from, too: they count as alive."""
+    return membership.node_status(membership.with_status(_phi(spark, d), 0.5, 3.0), fx.nodes(spark, 12)).select("node_id", "status")
 
 
 # Telemetry
@@ -585,20 +744,21 @@ def reorder_by_latency(spark, d):
     return telemetry.reorder_by_latency(_lists(spark, d), telemetry.latency(fx.latencies(spark, d))).select("key", "node_id", "rank", "new_rank")
 
 
-@query(LAT + """, w as (select node_id, seq, list(ns) over (partition by node_id order by seq rows between 99 preceding and current row) as x from lat),
-s as (select node_id, seq, len(x) as samples, list_sort(x)[cast(floor((len(x) - 1) * 0.99) as int) + 1] as p99 from w where seq % 50 < 7),
+@query(LAT + """, w as (select node_id, seq, list(ns) over (partition by node_id order by seq rows between 999 preceding and current row) as x from lat),
+s as (select node_id, seq, len(x) as samples, list_sort(x)[cast(floor((len(x) - 1) * 0.99) as int) + 1] as p99 from w),
 g as (select *, list(case when samples < 10 then 0 when p99 > 100000000 then -1 else 1 end) over (partition by node_id order by seq rows between unbounded preceding and current row) as st from s)
 select node_id, seq, cast(samples as bigint) as samples, p99, cast(list_reduce(st, lambda a, x: case when x = 0 then a else greatest(1, least(10, a + x)) end, 10) as int) as slots, samples >= 10 and p99 > 100000000 as throttle from g""")
 def admission_slots(spark, d):
+    """A check behind every sample, with the operator's own window."""
     rows = fx.latencies(spark, d)
-    return telemetry.admission(rows, rows.where("seq % 50 < 7").select("node_id", "seq"), window=100)
+    return telemetry.admission(rows, rows.select("node_id", "seq"))
 
 
-@query(whole("admission_slots", " where seq % 50 < 7").replace("rows between 99 preceding", "rows between 999 preceding"))
-def admission_slots_all(spark, d):
-    """A check behind every sample, with the operator's own window."""
+@query(ORACLE_SQL["admission_slots"].rsplit("select node_id, seq", 1)[0].rstrip() + """, al as (select node_id, seq, p99, cast(list_reduce(st, lambda a, x: case when x = 0 then a else greatest(1, least(10, a + x)) end, 10) as int) as slots, samples >= 10 and p99 > 100000000 as throttle from g)
+select node_id, arg_max(slots, seq) as slots, cast(10 as int) as max_slots, arg_max(throttle, seq) as throttled, arg_max(p99, seq) as p99 from al group by node_id""")
+def admission_stats(spark, d):
     rows = fx.latencies(spark, d)
-    return telemetry.admission(rows, rows.select("node_id", "seq"))
+    return telemetry.admission_stats(telemetry.admission(rows, rows.select("node_id", "seq")))
 
 
 @query("select 'requests' as metric, concat('{op=\"', event_type, '\",node=\"node', event_id % 3, '\"}') as labels, count(*) as value from events group by event_type, event_id % 3")
@@ -618,18 +778,18 @@ def gauges(spark, d):
     return telemetry.gauges(rows)
 
 
-BUCKETS = ("with b as (select * from (values " + ", ".join(f"({i}, '{b:g}', {b!r})" for i, b in enumerate(telemetry.BOUNDS)) + ", (12, '+Inf', 'infinity'::double)) t(i, le, bound)), v as (select concat('{op=\"', event_type, '\"}') as labels, value / 10 as x, value from events), "
-           "hg as (select labels, le, i, count(*) filter (where x <= bound) as count, round(sum(x), 4) as sum, count(*) as total from v, b group by labels, le, i)")
+BUCKETS = ("with b as (select * from (values " + ", ".join(f"({i}, '{b:g}', {b!r})" for i, b in enumerate(telemetry.BOUNDS)) + ", (12, '+Inf', 'infinity'::double)) t(i, le, bound)), v as (select concat('{op=\"', event_type, '\"}') as labels, floor(value * 102.4) / 1024 as x from events), "
+           "hg as (select labels, le, i, count(*) filter (where x <= bound) as count, sum(x) as sum, count(*) as total from v, b group by labels, le, i)")
 
 
 def _histogram(spark, d):
     e = fx.table(spark, d, "events")
-    return telemetry.histogram(e.select(F.lit("latency").alias("metric"), telemetry.labels("op", F.col("event_type")).alias("labels"), (F.col("value") / 10).alias("value")))
+    return telemetry.histogram(e.select(F.lit("latency").alias("metric"), telemetry.labels("op", F.col("event_type")).alias("labels"), (F.floor(F.col("value") * 102.4) / 1024).alias("value")))
 
 
 @query(BUCKETS + " select 'latency' as metric, labels, le, count, sum, total from hg")
 def histogram(spark, d):
-    return _histogram(spark, d).select("metric", "labels", "le", "count", F.round("sum", 4).alias("sum"), "total")
+    return _histogram(spark, d).select("metric", "labels", "le", "count", "sum", "total")
 
 
 @query("""with c as (select concat('{op="', event_type, '"}') as labels, count(*) as n from events group by event_type),
@@ -641,22 +801,53 @@ def prometheus_text(spark, d):
     return telemetry.exposition(series, {"requests_total": "Requests by operation."})
 
 
-@query(BUCKETS + """, x as (select labels, i, concat('latency_bucket', substr(labels, 1, length(labels) - 1), ',le="', le, '"} ', count) as line from hg union all select distinct labels, 14, concat('latency_count', labels, ' ', total) from hg)
-select 'latency' as metric, line from x""")
+@query(BUCKETS + """, x as (select labels, i, concat('latency_bucket', substr(labels, 1, length(labels) - 1), ',le="', le, '"} ', count) as line from hg union all select distinct labels, 13, concat('latency_sum', labels, ' ', case when sum = floor(sum) then cast(cast(sum as bigint) as varchar) else cast(sum as varchar) end) from hg union all select distinct labels, 14, concat('latency_count', labels, ' ', total) from hg)
+select 'latency' as metric, cast(row_number() over (order by labels, i) as int) as place, line from x""")
 def prometheus_histogram(spark, d):
-    return telemetry.histogram_lines(_histogram(spark, d)).where("line not like 'latency_sum%'").select("metric", "line")
+    return telemetry.histogram_lines(_histogram(spark, d)).select("metric", "place", "line")
+
+
+COLLECTED = "with s as (select * from (values " + ", ".join(f"({i}, '{m}', '{k}', '{h}')" for i, (m, (k, h)) in enumerate(collector.SERIES.items())) + """) t(nth, metric, form, help)),
+b as (select * from (values """ + ", ".join(f"({i}, '{b:g}', {b!r})" for i, b in enumerate(telemetry.BOUNDS)) + """, (12, '+Inf', 'infinity'::double)) t(i, le, bound)),
+ev as (select event_id, event_type, floor(value * 102.4) / 1024 as x from events),
+v as (select 'request_duration_seconds' as metric, concat('{op="', event_type, '"}') as labels, x from ev union all select 'gossip_duration_seconds', '', x from ev where event_id % 10 = 0),
+hg as (select metric, labels, i, le, count(*) filter (where x <= bound) as n, sum(x) as sum, count(*) as total from v, b group by metric, labels, i, le),
+q as (select event_id as seq, count(*) filter (where (event_id + r * 5) % 4 != 0 and event_id % 29 != 0 and (event_id * 3 + r) % 4 > 0) as answers from events, (select unnest([0, 1, 2]) as r) group by event_id),
+sm as (select 'requests_total' as metric, concat('{op="', event_type, '",status="ok"}') as labels, cast(count(*) as varchar) as value from events group by event_type
+union all select 'quorum_total', concat('{type="read",result="', case when answers >= 2 then 'success' else 'failure' end, '"}'), cast(count(*) as varchar) from q group by answers >= 2
+union all select 'divergent_versions_total', '', cast(count(*) as varchar) from q where answers > 1
+union all select 'cluster_members', concat('{status="', n, '"}'), cast(c as varchar) from (values ('alive', 0), ('suspected', 1), ('dead', 2)) t(n, st) join (select cast(s_suppkey % 3 as int) as st, count(*) as c from supplier group by 1) using (st)),
+ln as (select metric, 0 as part, -2 as k, '' as labels, 0 as i, concat('# HELP store_', metric, ' ', help) as line from s union all select metric, 0, -1, '', 0, concat('# TYPE store_', metric, ' ', form) from s
+union all select metric, 1, 0, labels, 0, concat('store_', metric, labels, ' ', value) from sm
+union all select metric, 1, 0, labels, i, concat('store_', metric, '_bucket', case when labels = '' then '{' else concat(substr(labels, 1, length(labels) - 1), ',') end, 'le="', le, '"} ', n) from hg
+union all select distinct metric, 1, 0, labels, 13, concat('store_', metric, '_sum', labels, ' ', case when sum = floor(sum) then cast(cast(sum as bigint) as varchar) else cast(sum as varchar) end) from hg
+union all select distinct metric, 1, 0, labels, 14, concat('store_', metric, '_count', labels, ' ', total) from hg)
+select concat('store_', metric) as metric, cast(nth as int) as nth, cast(row_number() over (partition by metric order by part, k, labels, i) as int) as place, line from ln join s using (metric)"""
+
+
+@query(COLLECTED)
+def collected_text(spark, d):
+    """The text of all series, from requests, rounds of gossip, reads at a quorum and members; the others have a head alone."""
+    e = fx.table(spark, d, "events")
+    named = lambda rows, metric, labels, kind, value: rows.select(F.lit(metric).alias("metric"), labels.alias("labels"), F.col("event_id").alias("seq"), F.lit(kind).alias("kind"), value.cast("double").alias("value"))
+    x, op = F.floor(F.col("value") * 102.4) / 1024, telemetry.labels("op", F.col("event_type"))
+    asked = quorum.read_status(fx.responses(spark, d), 2)
+    parts = [
+        named(e, "requests_total", telemetry.labels("op", F.col("event_type"), "status", "ok"), "inc", F.lit(1)),
+        named(e, "request_duration_seconds", op, "observe", x),
+        named(e.where("event_id % 10 = 0"), "gossip_duration_seconds", F.lit(""), "observe", x),
+        named(e.where("event_id < 3"), "no_series_of_these", F.lit(""), "inc", F.lit(1)),
+        collector.quorum_events(asked, "read", asked.select("req_id", F.col("answers").alias("n_values"))),
+        membership.member_counts(fx.members(spark, d)).select(F.lit("cluster_members").alias("metric"), telemetry.labels("status", F.col("status")).alias("labels"), F.lit(0).cast("long").alias("seq"), F.lit("set").alias("kind"), F.col("members").cast("double").alias("value")),
+    ]
+    return collector.collected(reduce(DataFrame.unionByName, parts))
 
 
 # Maintenance
 
 
-@query(KV + f", t as (select key, bool_and(is_tombstone and ts <= {NOW} - interval 7 day) as gone, count(*) as n from kv where seq % 100 < 3 group by key) select key, n as versions from t where not gone")
+@query(KV + f", t as (select key, bool_and(is_tombstone and ts <= {NOW} - interval 7 day) as gone, count(*) as n from kv group by key) select key, n as versions from t where not gone")
 def tombstone_sweep(spark, d):
-    return _swept(fx.kv(spark, d).where("seq % 100 < 3"))
-
-
-@query(whole("tombstone_sweep", " where seq % 100 < 3"))
-def tombstone_sweep_all(spark, d):
     return _swept(fx.kv(spark, d))
 
 
@@ -699,13 +890,46 @@ def index_lookup(spark, d):
     return logs.lookup(logs.remove_segment(logs.index(log), 2), log).groupBy("key").agg(F.count("*").alias("live"))
 
 
+@query(KV + " select distinct key from kv")
+def log_keys(spark, d):
+    """In log mode keys include those of which only tombstones are left."""
+    return Store(fx.kv(spark, d).where("is_tombstone").unionByName(fx.kv(spark, d)), "log").keys()
+
+
+@query(LOG + ' select key, segment_id, "offset" from lg where key not in (select concat(\'user:\', n_nationkey) from nation)')
+def index_delete(spark, d):
+    gone = fx.table(spark, d, "nation").select(F.concat(F.lit("user:"), F.col("n_nationkey").cast("string")).alias("key"))
+    return logs.delete_keys(logs.index(fx.log(fx.kv(spark, d))), gone).select("key", "segment_id", "offset")
+
+
+@query(LOG + " select distinct key from lg where key >= 'user:10' and key < 'user:12'")
+def index_range(spark, d):
+    return logs.keys_of(logs.index(fx.log(fx.kv(spark, d))), "user:10", "user:12")
+
+
+@query(LOG + " select count(distinct key) as keys, count(*) as pointers from lg")
+def index_len(spark, d):
+    return logs.size(logs.index(fx.log(fx.kv(spark, d))))
+
+
+@query(LOG + """, anew as (select key, 99 as segment_id, max("offset") as "offset" from lg where key >= 'user:10' and key < 'user:12' group by key)
+select key, segment_id, "offset" from lg where key not in (select key from anew) union all select * from anew""")
+def index_set(spark, d):
+    pointers = logs.index(fx.log(fx.kv(spark, d)))
+    some = pointers.where("key >= 'user:10' and key < 'user:12'").groupBy("key").agg(F.lit(99).cast("long").alias("segment_id"), F.max("offset").alias("offset"), F.max("ts").alias("ts"))
+    return logs.set_pointers(pointers, some).select("key", "segment_id", "offset")
+
+
 @query(LOG + ' select segment_id, count(*) as entries, cast(sum(length) + 32 as bigint) as bytes, min("offset") as first_offset, max("offset") as last_offset from lg group by segment_id')
 def segment_stats(spark, d):
     return logs.segment_stats(fx.log(fx.kv(spark, d)))
 
 
-@query(LOG + """, b as (select node_id, seq, length, coalesce(sum(length) over (partition by node_id order by seq rows between unbounded preceding and 1 preceding), 0) as before from lg), s as (select *, cast(before // 9968 as bigint) as segment_no from b)
-select node_id, seq, segment_no, cast(before - min(before) over (partition by node_id, segment_no) + 32 as bigint) as "offset" from s""")
+@query(LOG.replace("with e as", "with recursive e as") + """, r as (select node_id, seq, length, row_number() over (partition by node_id order by seq) as i from lg),
+f as (select node_id, i, seq, cast(0 as bigint) as segment_no, cast(32 as bigint) as "offset", 32 + length as size from r where i = 1
+union all select r.node_id, r.i, r.seq, f.segment_no + (f.size + r.length > 10000)::int, case when f.size + r.length > 10000 then 32 else f.size end, case when f.size + r.length > 10000 then 32 else f.size end + r.length
+from f join r on r.node_id = f.node_id and r.i = f.i + 1)
+select node_id, seq, segment_no, "offset" from f""")
 def segment_rotate(spark, d):
     return logs.rotate(fx.log(fx.kv(spark, d)).drop("offset"), 10_000, stream="node_id").select("node_id", "seq", "segment_no", "offset")
 
@@ -739,22 +963,72 @@ def retry_outcomes(spark, d):
     return resilience.retry_outcomes(e.select(F.expr("event_id div 5").alias("req_id"), (F.col("event_id") % 5).alias("attempt"), (F.col("event_type") == "purchase").alias("ok"), code.alias("error")))
 
 
+@query("""with a as (select event_id // 5 as req_id, event_id % 5 as attempt from events), w as (select req_id, attempt, 100 * pow(2, attempt) as base, cast(concat('0x', substr(md5(concat_ws('|', '5', req_id, attempt)), 1, 8)) as bigint) / 4294967296.0::double as u from a)
+select req_id, attempt, round(greatest(0.0::double, least(500.0::double, base + (u * 2 - 1) * base * 0.2::double)), 6) as wait_ms from w""")
+def backoff_jitter(spark, d):
+    e = fx.table(spark, d, "events").select(F.expr("event_id div 5").alias("req_id"), (F.col("event_id") % 5).alias("attempt"))
+    return resilience.waits(e, resilience.RetryConfig(max_ms=500.0), seed=5).select("req_id", "attempt", F.round("wait_ms", 6).alias("wait_ms"))
+
+
+@query("""with recursive a as (select event_id // 5 as req_id, event_id % 5 as attempt, event_type = 'purchase' as ok, case event_type when 'view' then 'timeout' when 'click' then 'unreachable' when 'signup' then 'circuit_open' when 'error' then 'server_error' end as error, ts from events),
+s as (select req_id, coalesce(min(attempt) filter (where ok or coalesce(error not in ('timeout', 'unreachable', 'circuit_open'), true)), max(attempt)) as attempt, min(ts) as t from a where attempt <= 3 group by req_id),
+o as (select req_id, concat('10.0.1.', req_id % 9) as address, epoch_us(t) * 1000 as ts_ns, attempt + 1 as tries, ok, case when not ok then error end as error, row_number() over (partition by req_id % 9 order by t, req_id) as i from a join s using (req_id, attempt)),
+r as (select distinct address, cast(0 as bigint) as i, cast(null as bigint) as req_id, false as allowed, false as ok, cast(0 as bigint) as tries, cast(null as varchar) as error, 'closed' as state, 0 as failures, 0 as successes, 0 as probes, cast(null as bigint) as last from o
+union all select address, i, req_id, allowed, allowed and ok, case when allowed then tries else 0 end, case when allowed then error else 'circuit_open' end,
+case when allowed and ok and st = 'half_open' and su >= 1 then 'closed' when allowed and not ok and (st = 'half_open' or failures >= 4) then 'open' else st end,
+case when allowed and ok and (st = 'closed' or su >= 1) then 0 when allowed and not ok and st = 'closed' then failures + 1 else failures end,
+case when not allowed then su when ok and st = 'half_open' then (su + 1) % 2 when not ok and (st = 'half_open' or failures >= 4) then 0 else su end,
+case when not allowed then pr when ok and st = 'half_open' and su >= 1 then 0 when not ok and (st = 'half_open' or failures >= 4) then 0 else pr end, case when allowed and not ok then ts_ns else last end
+from (select o.address, o.i, o.req_id, o.ok, o.tries, o.error, o.ts_ns, r.last, r.failures, r.state = 'closed' or r.state = 'open' and o.ts_ns - r.last >= 30000000000 or r.state = 'half_open' and r.probes < 3 as allowed,
+case when r.state = 'open' and o.ts_ns - r.last >= 30000000000 then 'half_open' else r.state end as st, case when r.state = 'open' and o.ts_ns - r.last >= 30000000000 then 0 else r.successes end as su,
+case when r.state = 'open' and o.ts_ns - r.last >= 30000000000 then 1 when r.state = 'half_open' and r.probes < 3 then r.probes + 1 else r.probes end as pr from r join o on o.address = r.address and o.i = r.i + 1))
+select req_id, address, allowed, ok, cast(tries as int) as tries, error, state from r where i > 0""")
+def retry_through_breaker(spark, d):
+    e = fx.table(spark, d, "events")
+    code = F.when(F.col("event_type") == "view", "timeout").when(F.col("event_type") == "click", "unreachable").when(F.col("event_type") == "signup", "circuit_open").when(F.col("event_type") == "error", "server_error")
+    req = F.expr("event_id div 5")
+    rows = e.select(req.alias("req_id"), F.concat(F.lit("10.0.1."), (req % 9).cast("string")).alias("address"), (fx.micros(F.col("ts")) * 1000).alias("ts_ns"), (F.col("event_id") % 5).alias("attempt"), (F.col("event_type") == "purchase").alias("ok"), code.alias("error"))
+    return resilience.through_breaker(rows.where("attempt <= 3"))
+
+
 def _breaker_events(spark, d):
     e = fx.table(spark, d, "events")
     kind = F.when(F.col("event_type").isin("error", "view"), "failure").when(F.col("event_type") == "purchase", "success").otherwise("allow")
     return e.select(F.concat(F.lit("10.0.0."), (F.col("user_id") % 25).cast("string")).alias("address"), (fx.micros(F.col("ts")) * 1000).alias("ts_ns"), F.col("event_id").alias("seq"), kind.alias("event"))
 
 
-@query()
+BREAKER = """with recursive ev as (select concat('10.0.0.', user_id % 25) as address, epoch_us(ts) * 1000 as ts_ns, event_id as seq, case when event_type in ('error', 'view') then 'failure' when event_type = 'purchase' then 'success' else 'allow' end as event,
+row_number() over (partition by user_id % 25 order by ts, event_id) as i from events),
+r as (select distinct address, cast(0 as bigint) as i, cast(null as bigint) as seq, cast(null as varchar) as event, cast(null as boolean) as allowed, 'closed' as state, 0 as failures, 0 as successes, 0 as probes, cast(null as bigint) as last from ev
+union all select e.address, e.i, e.seq, e.event, case when e.event != 'allow' then null when r.state = 'open' then r.last is null or e.ts_ns - r.last >= 3600000000000 when r.state = 'half_open' then r.probes < 3 else true end,
+case when e.event = 'allow' and r.state = 'open' and (r.last is null or e.ts_ns - r.last >= 3600000000000) then 'half_open' when e.event = 'success' and r.state = 'half_open' and r.successes >= 1 then 'closed'
+when e.event = 'failure' and (r.state = 'half_open' or r.state = 'closed' and r.failures >= 2) then 'open' else r.state end,
+case when e.event = 'success' and (r.state = 'closed' or r.state = 'half_open' and r.successes >= 1) then 0 when e.event = 'failure' and r.state = 'closed' then r.failures + 1 else r.failures end,
+case when e.event = 'allow' and r.state = 'open' and (r.last is null or e.ts_ns - r.last >= 3600000000000) then 0 when e.event = 'success' and r.state = 'half_open' then (r.successes + 1) % 2 when e.event = 'failure' and (r.state = 'half_open' or r.state = 'closed' and r.failures >= 2) then 0 else r.successes end,
+case when e.event = 'allow' and r.state = 'open' and (r.last is null or e.ts_ns - r.last >= 3600000000000) then 1 when e.event = 'allow' and r.state = 'half_open' and r.probes < 3 then r.probes + 1
+when e.event = 'success' and r.state = 'half_open' and r.successes >= 1 or e.event = 'failure' and (r.state = 'half_open' or r.state = 'closed' and r.failures >= 2) then 0 else r.probes end,
+case when e.event = 'failure' then e.ts_ns else r.last end from r join ev e on e.address = r.address and e.i = r.i + 1),
+st as (select address, seq, event, allowed, state, cast(failures as int) as failures from r where i > 0)"""
+
+
+@query(BREAKER + " select * from st")
 def breaker_states(spark, d):
     return resilience.breaker_states(_breaker_events(spark, d), resilience.BreakerConfig(failures_to_open=3, reset_ns=3_600_000_000_000))
 
 
-@query()
+@query(BREAKER + " select address, arg_max(state, seq) as state, arg_max(failures, seq) as failures, count(*) filter (where not allowed) as rejected from st group by address")
 def breaker_stats(spark, d):
     return resilience.breaker_stats(breaker_states(spark, d))
 
 
+@query(BREAKER + " select address, 'closed' as state, cast(0 as int) as failures, count(*) filter (where not allowed) as rejected from st group by address")
+def breaker_reset_all(spark, d):
+    """The breakers of all addresses after all of them are reset at the end."""
+    events = _breaker_events(spark, d)
+    resets = resilience.resets(events, F.lit(1 << 62), F.lit(1 << 62))
+    return resilience.breaker_stats(resilience.breaker_states(events.unionByName(resets), resilience.BreakerConfig(failures_to_open=3, reset_ns=3_600_000_000_000)))
+
+
 # Streams and files: both go through tables in the shared folder
 
 
@@ -765,13 +1039,8 @@ def stream_reconcile(spark, d):
     return run_reconcile(fx.kv(spark, d)).select("key", "seq", "clock", "is_tombstone")
 
 
-@query(KV + " select key, data, clock, is_tombstone, epoch_us(ts) * 1000 as ts_ns from kv where seq % 4 = 0")
+@query(KV + " select key, data, clock, is_tombstone, epoch_us(ts) * 1000 as ts_ns from kv")
 def segment_roundtrip(spark, d):
-    return _roundtrip(fx.kv(spark, d).where("seq % 4 = 0"))
-
-
-@query(whole("segment_roundtrip", " where seq % 4 = 0"))
-def segment_roundtrip_all(spark, d):
     return _roundtrip(fx.kv(spark, d))
 
 
@@ -781,3 +1050,54 @@ def _roundtrip(versions: DataFrame) -> DataFrame:
     rows = versions.select("key", "data", "versions", (fx.micros(F.col("ts")) * 1000).alias("ts_ns"), "is_tombstone")
     back = through_segments(rows)
     return back.select("key", F.col("data").cast("string").alias("data"), clock.render(F.col("versions")).alias("clock"), "is_tombstone", "ts_ns")
+
+
+def _segments(spark, d) -> str:
+    """A folder with the log of all versions, one writer's after another's, in segments of 16 KB."""
+    from causalframe.sources.segments import next_segment_id, write_segments
+
+    path, rows = shared_path(spark, "log"), fx.kv(spark, d).select("key", "seq", "data", "versions", (fx.micros(F.col("ts")) * 1000).alias("ts_ns"), "is_tombstone", "node_id")
+    for n in range(fx.REPLICAS):
+        first = next_segment_id(spark, path) if n else 1
+        write_segments(rows.where(F.col("node_id") == f"node{n}").coalesce(1).sortWithinPartitions("seq"), path, 16 << 10, first)
+    return path
+
+
+@query(KV + " select key, count(*) as pointers, max(cast(epoch_us(ts) as bigint)) as last_us from kv group by key")
+def log_recover(spark, d):
+    """The index of a folder of segments, of which one more is corrupt."""
+    from causalframe.sources.segments import recover, segment_name
+    from causalframe.sources.shared import filesystem
+
+    path = _segments(spark, d)
+    store, folder = filesystem(path)
+    with store.open_output_stream(f"{folder}/{segment_name(1 << 40)}") as out:
+        out.write(b"no segment of this kind, but long enough to have a header")
+    found = recover(spark, path)
+    assert found.next_id == (1 << 40) + 1 and [r["segment_id"] for r in found.corrupt.collect()] == [1 << 40]
+    return found.index.groupBy("key").agg(F.count("*").alias("pointers"), F.max(F.unix_micros("ts")).alias("last_us"))
+
+
+@query(KV + " select seq, key, data, clock, is_tombstone from kv")
+def log_read_at(spark, d):
+    """Every entry by a ranged read at its pointer. A key's n-th version of a time is told by its clock."""
+    from causalframe.sources.segments import read_at, recover
+
+    path = _segments(spark, d)
+    back = read_at(path, recover(spark, path).index)
+    shown = fx.kv(spark, d).select("seq", F.col("key").alias("k"), clock.render(F.col("versions")).alias("c"), (fx.micros(F.col("ts")) * 1000).alias("t"), F.col("data").alias("x"))
+    rows = back.where("not corrupt").select("key", F.col("data").cast("string").alias("data"), clock.render(F.col("versions")).alias("clock"), "is_tombstone", "ts_ns")
+    return rows.join(shown, (F.col("k") == F.col("key")) & (F.col("c") == F.col("clock")) & (F.col("t") == F.col("ts_ns")) & (F.col("x") == F.col("data"))).select("seq", "key", "data", "clock", "is_tombstone")
+
+
+@query(KV + f""", k as (select *, max(ts) over (partition by key) as newest from kv)
+select key, count(distinct case when ts = newest and not (is_tombstone and ts < {NOW} - interval 7 day) then (ts, data) end) > 0 as kept from k group by key""")
+def log_compact_files(spark, d):
+    """Segments are merged, oldest first, until fewer than three of the first are left: of each key what is newest stays."""
+    from causalframe.sources.segments import compact_files, read_segments, segment_files
+
+    path = _segments(spark, d)
+    count = segment_files(spark, path).count()
+    compact_files(spark, path, F.expr(NOW), 7 * DAY_US, k=count, segment_bytes=1 << 20)
+    left = read_segments(spark, path).select("key").distinct().withColumn("kept", F.lit(True))
+    return _keys(spark, d).join(left, "key", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
