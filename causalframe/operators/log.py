@@ -97,15 +97,15 @@ def oldest_segments(log: DataFrame, k: int = 3) -> DataFrame:
     return ids.crossJoin(F.broadcast(count)).where(F.col("n") >= k).select("segment_id")
 
 
-def compact(log: DataFrame, now, ttl_us: int, mode: str = "latest") -> DataFrame:
+def compact(log: DataFrame, now, ttl_us: int, mode: str = "latest", by: str = "ts") -> DataFrame:
     """What merging segments leaves: of each key the latest entry (latest), or all that survive (causal); no expired tombstones.
 
-    Of entries of one time the first in the log stays.
+    Of entries of one time the first in the log stays. by: the column of times, if there is one finer than ts.
     """
     if mode == "causal":
         kept = reconcile(log)
     elif mode == "latest":
-        order = Window.partitionBy("key").orderBy(F.desc("ts"), "segment_id", "offset")
+        order = Window.partitionBy("key").orderBy(F.desc(by), "segment_id", "offset")
         kept = log.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     else:
         raise ValueError(f"unknown mode {mode!r}: it is latest or causal")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from causalframe.functions.predicates import key_in, live
 from causalframe.operators.reconcile import reconcile
 from causalframe.schema import VERSIONS
+from causalframe.sources.shared import saved
 
 MODES = ("memory", "log")
 
@@ -47,12 +48,14 @@ class Store:
         return keys.orderBy("key") if self.mode == "memory" else keys
 
     def put(self, rows: DataFrame) -> Store:
-        """Only keys that are put are reconciled anew; the others pass by."""
+        """Only keys that are put are reconciled anew; the others pass by. In memory mode versions are worked out once, and saved with a mark."""
         if self.mode == "log":
             return Store(self.versions.unionByName(rows), self.mode)
-        touched = rows.select("key").distinct()
-        anew = reconcile(self.versions.join(touched, "key", "left_semi").unionByName(rows))
-        return Store(self.versions.join(touched, "key", "left_anti").unionByName(anew), self.mode)
+        columns, whole = self.versions.columns, F.lit(True)
+        touched = rows.select("key").distinct().withColumn("_put", whole)
+        marked = self.versions.join(touched, "key", "left").select(*columns, "_put").unionByName(rows.select(*columns, whole.alias("_put")))
+        marked = saved(marked, "put")
+        return Store(marked.where("_put is null").select(*columns).unionByName(reconcile(marked.where("_put").select(*columns))), self.mode)
 
     def delete(self, keys: DataFrame, now=None) -> Store:
         if self.mode == "memory":

@@ -41,7 +41,13 @@ def test_ring_walks(spark):
     after = {r["key"]: r["node_id"] for r in ring.coordinators(keys, ring.without(small, "n0")).collect()}
     assert all(after[k] == n for k, n in before.items() if n != "n0") and len(after) == 200
     with pytest.raises(ValueError):
-        ring.tokens(nodes, 257)
+        ring.tokens(nodes, 0)
+    many = {}
+    for n in ("n0", "n1", "n2"):
+        for i in range(56_000):
+            c = "\ufffd" if 0xD800 <= i <= 0xDFFF else chr(i)
+            many[int.from_bytes(hashlib.md5(f"{n}:{c}".encode()).digest()[:4], "big")] = n
+    assert {r["position"]: r["node_id"] for r in ring.tokens(nodes, 56_000).collect()} == many
 
 
 def _root(hashes):
