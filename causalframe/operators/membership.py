@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalframe.functions.clock import JSON_TIME
+from causalframe.functions.predicates import member_alive
 from causalframe.schema import ALIVE, DEAD, SUSPECTED
 
 STATUS = ((ALIVE, "alive"), (SUSPECTED, "suspected"), (DEAD, "dead"))
@@ -45,8 +46,7 @@ def member_counts(members: DataFrame) -> DataFrame:
 
 
 def healthy(members: DataFrame, self_id: str | None = None) -> DataFrame:
-    keep = F.col("status") == ALIVE
-    return members.where(keep | (F.col("node_id") == self_id) if self_id is not None else keep)
+    return members.where(member_alive() | (F.col("node_id") == self_id) if self_id is not None else member_alive())
 
 
 def intervals(heartbeats: DataFrame, keep: int = 100) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalframe.functions import clock
+from causalframe.functions.predicates import not_dead
 from causalframe.operators.reconcile import contexts, reconcile
 
 
@@ -77,7 +78,7 @@ def hints(responses: DataFrame) -> DataFrame:
 
 def sloppy(lists: DataFrame, members: DataFrame, self_id: str | None = None) -> DataFrame:
     """lists (key, rank, node_id) without dead nodes, ranked anew in the same order; the node itself stays."""
-    up = members.where((F.col("status") != 2) | (F.col("node_id") == F.lit(self_id))).select("node_id")
+    up = members.where(not_dead(self_id)).select("node_id")
     left = lists.join(up, "node_id", "left_semi")
     return left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rank")) - 1)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from causalframe.config import DAY_US
-from causalframe.functions import clock
+from causalframe.functions import clock, predicates
 from causalframe.functions.hashing import position
 from causalframe.functions.predicates import tombstone_expired
 from causalframe.operators import log as logs
@@ -178,6 +178,23 @@ def clock_equals(spark, d):
     return _pairs(spark, d).select("key", "seq", clock.equals(F.col("versions"), F.col("before")).alias("same"))
 
 
+@query(PAIRS + """, g as (select seq, greatest(n0, coalesce(m0, 0)) as a, greatest(n1, coalesce(m1, 0)) as b, greatest(n2, coalesce(m2, 0)) as c from pr)
+select seq, concat_ws(',', case when a > 0 then concat('node0=', a) end, case when b > 0 then concat('node1=', b) end, case when c > 0 then concat('node2=', c) end) as merged from g""")
+def clock_merge_pairs(spark, d):
+    """By merge() and merge_all() alike; the first version of a key has no clock before it."""
+    rows = _pairs(spark, d)
+    two, many = clock.merge(F.col("versions"), F.col("before")), clock.merge_all(F.array("versions", F.coalesce("before", clock.new_clock())))
+    return rows.select("seq", F.when(clock.equals(two, many), clock.render(two)).alias("merged"))
+
+
+@query(KV + ", pr as (select seq, data, clock, is_tombstone as gone, lag(data) over w as d, lag(clock) over w as c, lag(is_tombstone) over w as g from kv window w as (partition by key order by seq)) select seq, data is not distinct from d and clock = c and gone = g as same from pr where c is not null")
+def same_version(spark, d):
+    back = Window.partitionBy("key").orderBy("seq")
+    me = F.struct("data", "versions", "is_tombstone")
+    rows = fx.kv(spark, d).select("seq", me.alias("me"), F.lag(me).over(back).alias("before")).where("before is not null")
+    return rows.select("seq", predicates.same_version(F.col("me"), F.col("before")).alias("same"))
+
+
 # Reconciliation
 
 
@@ -467,6 +484,16 @@ def cluster_join(spark, d):
     return asked.groupBy("node_id", "rank", "ok").agg(F.count("*").alias("n_keys"))
 
 
+@query(SURV + " select key, seq, data, clock, is_tombstone from surv where key in (select concat('user:', n_nationkey) from nation)")
+def cluster_local(spark, d):
+    """What one node holds after it is sent all versions, half of them at a time."""
+    rows, some = fx.kv(spark, d), fx.table(spark, d, "nation").select(F.concat(F.lit("user:"), F.col("n_nationkey").cast("string")).alias("key"))
+    up = Cluster.start(_members5(spark))
+    for half in (1, 0):
+        up = up.local_put("node3", rows.drop("node_id").where(F.col("seq") % 2 == half))
+    return fx.shown(up.local_get("node3", some))
+
+
 @query(REPL + f", a0 as (select * from rep where node_id = 'node0'), s as (select * from kv a where not exists (select 1 from kv b where b.key = a.key and {STRICT})) select key, count(*) as siblings, cast(sum(seq) as bigint) as ids from s group by key")
 def hints_apply(spark, d):
     """The versions that node0 lacks reach it as hints."""
@@ -705,6 +732,25 @@ def failure_status_defaults(spark, d):
     return membership.with_status(_phi(spark, d)).select("node_id", "new_status")
 
 
+@query("""with s as (select concat('node', i) as node_id, i * 300.0 / 600 - 1 as over from range(9) t(i)) select node_id, case when i = 8 then 17 else 4 + over * case when over <= 0 then 4 else 8 end end as phi from (select *, cast(substr(node_id, 5) as int) as i from s)""")
+def phi_without_history(spark, d):
+    """Nodes with a single heartbeat, and one that was never heard from."""
+    beats = fx.heartbeats(spark, d).groupBy("node_id").agg(F.max("arrival_ns").alias("arrival_ns"))
+    some = fx.nodes(spark, 9).select("node_id").join(membership.intervals(beats), "node_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    some = some.withColumn("last_ns", F.when(F.col("node_id") != "node8", F.coalesce("last_ns", F.lit(0).cast("long"))))
+    now = F.col("last_ns") + F.lit(300_000_000_000) * F.substring("node_id", 5, 9).cast("long")
+    return membership.phi(some, now, 600_000_000_000).select("node_id", "phi")
+
+
+@query(PHI + """, f2 as (select node_id, cast(case when phi >= 3 then 2 when phi >= 0.5 then 1 else 0 end as int) as status from p),
+c as (select concat('node', i) as node_id, cast(i % 2 as int) as old_status, case when i = 1 then 1 else coalesce(status, 2) end as new_status from range(9) t(i) left join f2 on f2.node_id = concat('node', i))
+select node_id, old_status, cast(new_status as int) as new_status from c where old_status != new_status""")
+def status_changes(spark, d):
+    """Of members of status i modulo 2, as node1 sees them: a member never heard from is dead, and node1 is what it was."""
+    members = fx.nodes(spark, 9).select("node_id", (F.col("ord") % 2).cast("int").alias("status"))
+    return membership.changes(members, _phi(spark, d), 0.5, 3.0, "node1").select("node_id", "old_status", F.col("new_status").cast("int").alias("new_status"))
+
+
 @query(PHI + ", f2 as (select node_id, cast(case when phi >= 3 then 2 when phi >= 0.5 then 1 else 0 end as int) as status from p) select node_id from f2 where status = 2")
 def nodes_dead(spark, d):
     rows = membership.with_status(_phi(spark, d), 0.5, 3.0).withColumn("status", F.col("new_status"))
@@ -856,6 +902,14 @@ def _swept(versions: DataFrame) -> DataFrame:
     return kept.groupBy("key").agg(F.count("*").alias("versions"))
 
 
+@query(KV + f", t as (select key, bool_and(is_tombstone and ts <= {NOW} - interval 7 day) as gone, count(*) as n from kv group by key) select key, n as versions from t where not (gone and key in (select concat('user:', n_nationkey) from nation))")
+def tombstone_sweep_keys(spark, d):
+    """A sweep of some keys alone, here of versions that are old and dead."""
+    some = fx.table(spark, d, "nation").select(F.concat(F.lit("user:"), F.col("n_nationkey").cast("string")).alias("key"))
+    kept, _ = sweep(fx.kv(spark, d), F.expr(NOW), 7 * DAY_US, some)
+    return kept.groupBy("key").agg(F.count("*").alias("versions"))
+
+
 @query(KV + f", t as (select seq, is_tombstone and ts < {NOW} - interval 7 day as expired from kv) select expired, count(*) as versions from t group by expired")
 def tombstone_expiry(spark, d):
     rows = fx.kv(spark, d).select(tombstone_expired(F.expr(NOW), 7 * DAY_US).alias("expired"))
@@ -1078,6 +1132,17 @@ def log_recover(spark, d):
     return found.index.groupBy("key").agg(F.count("*").alias("pointers"), F.max(F.unix_micros("ts")).alias("last_us"))
 
 
+@query(KV.replace("with e as", "with recursive e as") + """, r as (select node_id, seq, 25 + strlen(key) + strlen(data) + 15 * ((n0 > 0)::int + (n1 > 0)::int + (n2 > 0)::int) as length, row_number() over (partition by node_id order by seq) as i from kv),
+f as (select node_id, i, 0 as segment_no, 32 + length as size from r where i = 1
+union all select r.node_id, r.i, f.segment_no + (f.size + r.length > 16384)::int, case when f.size + r.length > 16384 then 32 else f.size end + r.length from f join r on r.node_id = f.node_id and r.i = f.i + 1)
+select cast(row_number() over (order by node_id, segment_no) as bigint) as segment_id, count(*) as entries, false as corrupt from f group by node_id, segment_no""")
+def log_validate(spark, d):
+    """The segments of three writers, by number: how many entries each has, and whether all can be read."""
+    from causalframe.sources.segments import validate
+
+    return validate(spark, _segments(spark, d))
+
+
 @query(KV + " select seq, key, data, clock, is_tombstone from kv")
 def log_read_at(spark, d):
     """Every entry by a ranged read at its pointer. A key's n-th version of a time is told by its clock."""
