@@ -1,4 +1,9 @@
-"""Tables in the folder that the cluster shares, which cut lineage and outlive executors."""
+"""Tables in the folder that the cluster shares, which cut lineage and outlive executors.
+
+Lineage is cut by writing a table, never by localCheckpoint: the copy outlives any executor. The folder is
+the one named by spark.checkpoint.dir; where that is unset, a local-mode session gets one of its own and any
+other session is refused, as a machine-local folder would not be seen by its executors.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +31,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder."""
     path, schema = shared_path(df.sparkSession, name), df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
