@@ -216,7 +216,8 @@ def scores(docs: DataFrame, model: QualityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            score = [float(model.score(pooled(t.as_py(), model.vectors)[None].astype(np.float64))[0]) for t in batch.column(1)]
+            rows = [pooled(t.as_py(), model.vectors) for t in batch.column(1)]
+            score = model.score(np.stack(rows).astype(np.float64)) if rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
