@@ -1,45 +1,17 @@
-"""Intermediate tables in the folder that the cluster shares.
-
-Lineage is cut by writing a table, never by localCheckpoint: the copy outlives any executor. The folder is
-the one named by spark.checkpoint.dir; where that is unset, a local-mode session gets one of its own and any
-other session is refused, as a machine-local folder would not be seen by its executors.
-"""
+"""Tables of the input and in between, and names and memory that operators must not take from others."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Folders made for local sessions that name none, by application.
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of a folder that the driver and all executors see."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
-        found = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="causalframe-")
-    return found.rstrip("/")
 
+from causalframe.sources.shared import filesystem, saved, shared_path, small
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/causalframe/{name}-{uuid.uuid4().hex}"
+__all__ = ["filesystem", "fresh", "new_path", "small", "table", "tidy", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a table in the shared folder."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    schema = df.schema
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+new_path, written = shared_path, saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df, marked for broadcasting if it is counted to have at most rows rows (of a few numbers each)."""
-    return F.broadcast(df) if df.count() <= rows else df
+def tidy(run: Callable[[Iterator], Iterator[pa.RecordBatch]]) -> Callable[[Iterator], Iterator[pa.RecordBatch]]:
+    """run; at its end, memory that Arrow keeps for later is given back, as a Python worker outlives its tasks."""
+
+    def tidied(batches: Iterator) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return tidied
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -8,7 +8,7 @@ with the number of distinct fingerprints so that a posting holds few unrelated o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 from math import comb
 
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causalframe.llm.components import connected_components
-from causalframe.llm.scratch import table, written
+from causalframe.llm.scratch import fresh, table, written
+from causalframe.llm.scratch import small as broadcast_if_small
 
 BITS = 64
 SEED = 42
@@ -122,46 +123,61 @@ def _links(keys: np.ndarray, fps: np.ndarray, max_bits: int, small: int) -> tupl
     return np.concatenate(a), np.concatenate(b)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], find: Callable[..., pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """find(columns) over rows sorted by the first column, of which equal values are never dealt to two calls."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        last = held[-1][0][-1]
+        if held[0][0][0] == last:  # one run so far, and it may go on
+            continue
+        columns = [np.concatenate(c) for c in zip(*held)]
+        end = int(np.searchsorted(columns[0], last, "left"))
+        yield find(*[c[:end] for c in columns])
+        held = [[c[end:] for c in columns]]
+    if held:
+        yield find(*[np.concatenate(c) for c in zip(*held)])
+
+
 def close_pairs(units: DataFrame, max_bits: int = 4, small: int = 24) -> DataFrame:
     """(a, b) links that connect whatever the rows (key, fp) of one key connect. Rows of one key meet in one task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        held: list = []
+    def find(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        a, b = _links(keys, fps.view(np.uint64), max_bits, small)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        def out(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    rows = units.select("key", "fp").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(lambda batches: whole_runs(batches, find), "a long, b long")
 
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            keys, fps = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            end = int(np.searchsorted(keys, keys[-1], "left"))  # the last key's rows may go on in the next batch
-            if end:
-                yield out(*_links(keys[:end], fps[:end], max_bits, small))
-            held = [(keys[end:], fps[end:])]
-        if held and len(held[0][0]):
-            yield out(*_links(*held[0], max_bits, small))
 
-    return units.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+def parted(rows: DataFrame, weights: DataFrame, key: str, item: str, weight: str, limit: int) -> DataFrame:
+    """rows with key, named key, replaced so that no value has items of more than about limit together.
+
+    weights: key and weight, of every value over limit at least. Such a value's items are cut into chunks of half the
+    limit by their hash, and each pair of chunks is a value of its own, so that every two items still share one.
+    """
+    hot = written(weights.where(F.col(weight) > limit).select(F.col(key).alias("of"), F.ceil(F.col(weight) * 2 / F.lit(limit)).cast("long").alias("parts")), "crowded")
+    rows = rows.withColumnRenamed(key, "key")
+    if hot.isEmpty():
+        return rows
+    hot = broadcast_if_small(hot)
+    cold = rows.join(hot, rows["key"] == hot["of"], "left_anti")
+    units = rows.join(hot, rows["key"] == hot["of"]).withColumn("c", F.pmod(F.xxhash64(item), F.col("parts")))
+    units = units.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return cold.unionByName(units.withColumn("key", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o"))).select(*rows.columns))
 
 
 def near_links(fps: DataFrame, max_bits: int = 4, crowded: int = 8192, blocks: int | None = None) -> DataFrame:
     """(a, b) links whose components are those of all pairs of fps at most max_bits apart. fps: distinct longs in fp.
 
-    A posting of over crowded rows is cut into chunks and each pair of chunks is a unit of its own, so no task holds
-    more than about crowded rows of it, and no pair is left out.
+    A posting of over crowded rows is cut into pairs of chunks, so no task holds more than about crowded rows of it.
     """
     r = blocks or blocks_for(fps.count(), max_bits)
     keys = postings(fps, r, max_bits)
-    hot = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded), "crowded")
-    if hot.isEmpty():
-        return close_pairs(keys, max_bits).distinct()
-    cold = keys.join(hot.select("key"), "key", "left_anti")
-    parts = F.ceil(F.col("n") * 2 / F.lit(crowded)).cast("long")
-    chunk = F.pmod(F.xxhash64("fp"), parts)
-    units = keys.join(hot, "key").select("key", "fp", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("o"))
-    units = units.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), "fp")
-    return close_pairs(cold.unionByName(units), max_bits).distinct()
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"))
+    return close_pairs(parted(keys, counts, "key", "fp", "n", crowded), max_bits).distinct()
 
 
 def near_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, seed: int = SEED, crowded: int = 8192) -> DataFrame:
@@ -182,20 +198,39 @@ def near_groups(docs: DataFrame, max_bits: int = 4, width: int = 4, seed: int =
 
 
 def first_of_groups(docs: DataFrame, max_bits: int = 4) -> DataFrame:
-    """The rows of docs that near_groups makes the first of their group: one row for each group; the columns of docs.
+    """The rows of docs that firsts() chooses of the groups of near_groups; the columns of docs."""
+    rows, name = hashed(docs)
+    fps = written(fingerprints(rows, key=name), "fps")
+    labels = connected_components(near_links(fps.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
+    marks = fps.join(labels, "fp", "left").select(F.col(f"`{name}`").alias("row"), F.coalesce("label", "fp").alias("label"))
+    ids = rows.select(F.col(f"`{name}`").alias("row"), "doc_id").distinct()
+    return firsts(rows, name, marks.join(ids, "row"))
 
-    Of repeated rows with the first doc_id, the one with the least hash of its columns stays. Rows with a null doc_id
-    can't stand for a group and no verdict can name them: each different one of them stays.
-    """
-    return firsts_of(docs, near_groups(docs.select("doc_id", "text"), max_bits))
 
+def hashed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a hash of all columns, and that column's name."""
+    name = fresh(docs, "row")
+    return docs.withColumn(name, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])), name
 
-def firsts_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs that groups (doc_id, component_id) makes the first of their group, as first_of_groups says."""
-    kept = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    best = kept.groupBy("doc_id").agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
-    return best.unionByName(docs.where(F.col("doc_id").isNull()).distinct())
+
+def firsts(rows: DataFrame, name: str, marks: DataFrame) -> DataFrame:
+    """One row of rows for each label of marks (row, doc_id, label; row is the hash that rows has as name), without name.
+
+    It is the row of the least doc_id, nulls last, and of several with it the one of the least hash of its columns; of
+    rows that are equal in all columns one stays. Rows that share a doc_id, or have none, are told apart by the hash.
+    """
+    marks = written(marks.select("row", "doc_id", "label"), "labelled")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = marks.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    judged = marks.join(first.where("n > 1"), "label").select("row", (F.col("row") == F.col("first.row")).alias("stays"))
+    judged = written(judged.groupBy("row").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")), "judged")
+    mark = F.col("row").alias(name)
+    kept = rows.join(broadcast_if_small(judged.where("not stays").select(mark)), name, "left_anti")
+    repeated = judged.where("stays and n > 1").select(mark)
+    if not repeated.isEmpty():
+        repeated = broadcast_if_small(repeated)
+        kept = kept.join(repeated, name, "left_anti").unionByName(kept.join(repeated, name, "left_semi").dropDuplicates([name]))
+    return kept.drop(name)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

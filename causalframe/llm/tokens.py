@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalframe.llm.eliasfano import EliasFano, encode
-from causalframe.llm.scratch import new_path, table, written
+from causalframe.llm.scratch import filesystem, new_path, table, tidy, written
 
 MAGIC = b"CFTOKEN1"
 _FOOT = struct.Struct("<QQQQB7x8s")
@@ -60,11 +60,6 @@ def _spaced(text: str) -> bool:
     return text.isprintable() or not _UNSAFE.search(text)
 
 
-def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    path = uri.removeprefix("file:")
-    return fs.FileSystem.from_uri("file:///" + path.lstrip("/") if path.startswith("/") else uri)
-
-
 class _Known(dict):
     """Ids by piece; what is missing is worked out by find and kept."""
 
@@ -86,7 +81,7 @@ class Encoder:
     as it is. Other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 1 << 27):
+    def __init__(self, path: str, keep: int = 1 << 26):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -178,7 +173,7 @@ class Encoder:
 
 class _Writer:
     def __init__(self, folder: str, name: str, width: int):
-        self.fs, self.folder = _filesystem(folder)
+        self.fs, self.folder = filesystem(folder)
         self.name, self.width, self.keys, self.ends, self.nulls = name, width, [], [0], 0
         self.temp = f"{self.folder}/.{name}-{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.temp)
@@ -210,7 +205,7 @@ class TokenFile:
     """Reading a file: ids of the i-th document, or all documents in order."""
 
     def __init__(self, folder: str, name: str):
-        system, base = _filesystem(folder)
+        system, base = filesystem(folder)
         self.file = system.open_input_file(f"{base}/{name}")
         size = self.file.size()
         at, keys_at, keys_len, self.nulls, self.width, magic = _FOOT.unpack(self.file.read_at(_FOOT.size, size - _FOOT.size))
@@ -254,7 +249,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, file_bytes: int = 1 << 27, fol
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
-    system, base = _filesystem(folder)
+    system, base = filesystem(folder)
     system.create_dir(base, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +268,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, file_bytes: int = 1 << 27, fol
     rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    manifest = written(rows.mapInArrow(run, "file string, docs long, ids long"), "manifest")
+    manifest = written(rows.mapInArrow(tidy(run), "file string, docs long, ids long"), "manifest")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     return folder, manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0).cast("long")))
 

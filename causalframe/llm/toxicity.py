@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causalframe.llm.labelled import fold, sample, with_texts
-from causalframe.llm.scratch import table, written
+from causalframe.llm.scratch import table, tidy, written
 
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that are counted beside whole words.
@@ -126,11 +126,11 @@ def _counts(texts: DataFrame, mark: str) -> DataFrame:
                 into.update(words)
                 into.update({w[:n] + "*" for w in words for n in STEMS if len(w) > n})
                 into[""] += len(words)
-                if len(sums[0]) + len(sums[1]) > 400_000:
+                if len(sums[0]) + len(sums[1]) > 100_000:
                     yield out()
         yield out()
 
-    rows = texts.select("text", F.col(mark).cast("int")).mapInArrow(run, "unit string, toxic long, other long")
+    rows = texts.select("text", F.col(mark).cast("int")).mapInArrow(tidy(run), "unit string, toxic long, other long")
     return rows.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int = 24_000)
             rows = [statistics(*passages(t.as_py(), model), model.rate)[:2] for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64()), batch.column(1)], ["best", "total", "toxic"])
 
-    got = texts.select("text", F.col("toxic").cast("int")).mapInArrow(run, "best double, total double, toxic int").toPandas()
+    got = texts.select("text", F.col("toxic").cast("int")).mapInArrow(tidy(run), "best double, total double, toxic int").toPandas()
     x = np.array([_features(b, t) for b, t in zip(got["best"], got["total"])])
     model.weights = _logistic(x, (got["toxic"].to_numpy() > 0).astype(float))
     return model
@@ -220,7 +220,7 @@ def scores(docs: DataFrame, model: ToxicModel) -> DataFrame:
                 spans.append([{"start": s, "end": e, "score": v / SCALE} for s, e, v in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(count, pa.int32()), pa.array(spans, pa.list_(span))], ["doc_id", "score", "n_passages", "passages"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, score double, n_passages int, passages array<struct<start:int,end:int,score:double>>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, score double, n_passages int, passages array<struct<start:int,end:int,score:double>>")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
@@ -235,7 +235,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Dat
             clean = [probability(*passages(t.as_py(), model), model) < least for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
