@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from causalframe.llm.scratch import written
 
 
+#: Links of rounds are written by a few tasks while there are at most so many, 16 bytes each.
+FEW = 1_000_000
+
+
 def _signature(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"] or 0
@@ -35,7 +39,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        anew = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        links = written(anew.coalesce(8) if mark[0] <= FEW else anew, "cc")
         before, mark = mark, _signature(links)
         if mark == before:
             break

@@ -158,7 +158,8 @@ def parted(rows: DataFrame, weights: DataFrame, key: str, item: str, weight: str
     weights: key and weight, of every value over limit at least. Such a value's items are cut into chunks of half the
     limit by their hash, and each pair of chunks is a value of its own, so that every two items still share one.
     """
-    hot = written(weights.where(F.col(weight) > limit).select(F.col(key).alias("of"), F.ceil(F.col(weight) * 2 / F.lit(limit)).cast("long").alias("parts")), "crowded")
+    hot = weights.where(F.col(weight) > limit).select(F.col(key).alias("of"), F.ceil(F.col(weight) * 2 / F.lit(limit)).cast("long").alias("parts"))
+    hot = written(hot.repartition(8), "crowded")  # a row for over limit items
     rows = rows.withColumnRenamed(key, "key")
     if hot.isEmpty():
         return rows
