@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalframe.llm.scratch import fresh, table, written
+from causalframe.llm.scratch import fresh, small, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 _SPACE = r"\x20\x09-\x0D"
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Sequenc
     plans = written(plans, "plans")
     slices = F.ceil(F.col("n") / F.lit(crowd)).cast("long")
     same = rows["source"].eqNullSafe(plans["source"]) & (rows["size"] == plans["size"])
-    spread = rows.join(plans, same).select("doc_id", rows["source"], rows["size"], "draw", "source_size", "target", "base", "extra", F.pmod("draw", slices).alias("slice"))
+    spread = rows.join(small(plans), same).select("doc_id", rows["source"], rows["size"], "draw", "source_size", "target", "base", "extra", F.pmod("draw", slices).alias("slice"))
     spread = written(spread, "spread")
     held = spread.where("extra > 0").groupBy("source", "size", "slice").agg(F.count("*").alias("m"), F.first("extra").alias("extra"))
     order = Window.partitionBy("source", "size").orderBy("slice")
