@@ -99,16 +99,18 @@ class Cluster:
         keys = keys.select("key").distinct()
         held = self.replicas.groupBy("node_id", "key").agg(F.count("*").cast("int").alias("n_values"))
         asked = self._asked(keys).join(held, ["node_id", "key"], "left").select(F.col("key").alias("req_id"), "key", "node_id", F.col("rank").cast("long").alias("arrival_ns"), "ok", F.coalesce("n_values", F.lit(0)).alias("n_values"))
+        asked = saved(asked, "asked")
         used = quorum.first_responses(asked, self.config.r).select("key", "node_id")
         status = quorum.read_status(asked, self.config.r)
         got = used.join(status.where("status = 'ok'").select(F.col("req_id").alias("key")), "key", "left_semi").join(self.replicas, ["key", "node_id"])
+        got = saved(got, "got")
         found = status.select(F.col("req_id").alias("key"), "status").join(contexts(got), "key", "left")
         return reconcile(got, dedupe=dedupe).select(*VERSION), found
 
     def read_repaired(self, keys: DataFrame) -> Cluster:
         """With the latest versions of keys on each of their live replicas."""
         mine = self.replicas.join(keys.select("key").distinct(), "key", "left_semi")
-        due = self._asked(keys.select("key").distinct()).where("ok").select("key", "node_id")
+        due = saved(self._asked(keys.select("key").distinct()).where("ok").select("key", "node_id"), "due")
         sent = repair.repairs(mine, due).select("node_id", *VERSION)
         return self._with(sent)
 
@@ -122,7 +124,7 @@ class Cluster:
         """With the keys on which two nodes differ exchanged both ways, in the ranges that both hold; ranges of equal Merkle roots are left alone."""
         a, b = (self.replicas.where(F.col("node_id") == n) for n in (one, other))
         ranges = saved(repair.differing_ranges(a, b, saved(repair.shared_ranges(self.ring, self.lists, one, other), "shared")), "differing")
-        mine, theirs = (repair.keys_in_ranges(x, ranges).select(*x.columns) for x in (a, b))
+        mine, theirs = (saved(repair.keys_in_ranges(x, ranges).select(*x.columns), "exchanged") for x in (a, b))
         sent = repair.push(theirs, mine).withColumn("node_id", F.lit(one)).unionByName(repair.push(mine, theirs).withColumn("node_id", F.lit(other)))
         return self._with(sent)
 

@@ -19,12 +19,14 @@ def reconcile(versions: DataFrame, by: list[str] | None = None, dedupe: bool = F
     """The rows of versions that no version of the same key (or columns by) dominates. Equal clocks all stay, unless dedupe.
 
     First each key's version of the largest counter sum drops what it dominates: a grouped maximum and one join,
-    linear in the rows even of a hot key. Only what is left is compared in pairs, each different clock once.
+    linear in the rows even of a hot key; any one of that sum will do, as none dominates another. Only what is left is
+    compared in pairs, each different clock once. Clocks are compared only where their sums allow it.
     """
     by = by or ["key"]
-    rows = versions.withColumn("_clock", clock.render(F.col("versions"))).withColumn("_total", clock.total(F.col("versions")))
-    top = rows.where("versions is not null").groupBy(*by).agg(F.max_by("versions", F.struct("_total", "_clock")).alias("_top"))
-    left = rows.join(top, by, "left").where(~clock.dominates(F.col("_top"), F.col("versions"))).drop("_top")
+    rows = versions.withColumn("_total", clock.total(F.col("versions")))
+    top = rows.where("versions is not null").groupBy(*by).agg(F.max_by("versions", "_total").alias("_top"), F.max("_total").alias("_most"))
+    below = F.coalesce(F.col("_most") > F.col("_total"), F.lit(False)) & clock.dominates(F.col("_top"), F.col("versions"))
+    left = rows.join(top, by, "left").where(~below).drop("_top", "_most").withColumn("_clock", clock.render(F.col("versions")))
     clocks = left.select(*by, "_clock", F.col("versions").alias("_other"), F.col("_total").alias("_more")).where("_other is not null").dropDuplicates([*by, "_clock"])
     clocks = clocks.drop("_clock").withColumnsRenamed({c: f"_{c}" for c in by})
     cond = (F.col("_more") > F.col("_total")) & clock.dominates(F.col("_other"), F.col("versions"))
@@ -73,10 +75,17 @@ def merge_carts(versions: DataFrame) -> DataFrame:
 
 
 def stale(current: DataFrame, latest: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The rows of latest that no row of current, of the same key, is equal to or after."""
+    """The rows of latest that no row of current, of the same key, is equal to or after.
+
+    Replicas mostly have the same clocks: those are found by equality first, and only what is left is compared in pairs,
+    where the sums allow it.
+    """
     by = by or ["key"]
-    have = current.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("versions").alias("_have"))
-    cond = clock.covers(F.col("_have"), F.col("versions"))
+    have = current.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("versions").alias("_have"), clock.render(F.col("versions")).alias("_text"), clock.total(F.col("versions")).alias("_more"))
+    rows = latest.withColumn("_clock", clock.render(F.col("versions"))).withColumn("_total", clock.total(F.col("versions")))
+    same = F.lit(True)
     for c in by:
-        cond &= F.col(c) == F.col(f"_{c}")
-    return latest.join(have, cond, "left_anti")
+        same &= F.col(c) == F.col(f"_{c}")
+    left = rows.join(have.select(*[f"_{c}" for c in by], "_text"), same & (F.col("_clock") == F.col("_text")), "left_anti")
+    kept = left.join(have, same & (F.col("_more") >= F.col("_total")) & clock.covers(F.col("_have"), F.col("versions")), "left_anti")
+    return kept.select(*latest.columns)

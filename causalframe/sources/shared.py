@@ -36,8 +36,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df, marked for broadcasting if it is counted to have at most rows rows, of a few values each."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """df, marked for broadcasting if it is counted to have at most rows rows, of a few values each, and for a merge join if not."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
