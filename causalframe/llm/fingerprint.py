@@ -20,12 +20,12 @@ _SPAN = float(1 << 63)
 
 def sketch(text: Column, k: int = K, width: int = WIDTH) -> Column:
     """array<long>: the k least different 63-bit hashes of the shingles of a text. Empty for a text of no words, or null."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(hashes(words(text), width), lambda h: F.shiftrightunsigned(h, 1)))), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(F.transform(hashes(words(text), width), lambda h: F.shiftrightunsigned(h, 1)))), 1, k)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
     """The sketch of both sets together."""
-    return F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
 def distinct_count(a: Column, k: int = K) -> Column:
@@ -73,11 +73,11 @@ def with_edits(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, sketch, n_distinct (the
     estimated number of different shingles). A null text is empty. Rows without a doc_id come behind all others; rows
-    of one doc_id follow by the hash of their texts; rows that repeat both are one place in that order and each has
+    of one doc_id follow by the hash of their texts; a doc_id may be of any type that has an order; rows that repeat both are one place in that order and each has
     its result. A sole document is followed by itself. An empty table gives no rows.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    id0 = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id0")
+    id0 = F.xxhash64("doc_id").alias("id0")
     texts = texts.select("doc_id", id0, F.xxhash64("doc_id", "text").alias("tie"), "text")
     keys = texts.select("doc_id", "id0", "tie", F.char_length("text").alias("n")).groupBy("doc_id", "id0", "tie", "n").agg(F.count("*").alias("rows"))
     follow = written(_followers(keys), "follow")
