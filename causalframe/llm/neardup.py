@@ -186,16 +186,21 @@ def loose_links(posts: DataFrame, radius: int, small_run: int = 512) -> DataFram
     return posts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: whole_runs(batches, find), "a long, b long").distinct()
 
 
-def similar(own: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """(first, member) of the components that pairs of sets of similarity least or more make. Sets: of different hashes, none empty."""
+def similar(own: list[np.ndarray], least: float, names: list[int | None] | None = None) -> list[tuple[int, int]]:
+    """(first, member) of the components that pairs of sets of similarity least or more make. Sets: of different hashes, none empty.
+
+    With names, only sets without a name are compared with all: links of two named ones are known or found elsewhere. Sets of
+    one name are one component already, so a link to the first of them stands for links to the others.
+    """
     sizes = np.array([len(o) for o in own])
     values, codes = np.unique(np.concatenate(own), return_inverse=True)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     codes = codes.astype(np.int32)
     have, left, edges = np.zeros(len(values), np.uint8), np.ones(len(own), bool), []
+    named = np.array([n is not None for n in names or [None] * len(own)])
     index = np.arange(len(own))  # of the sets that codes, starts and sizes still hold
-    for root in range(len(own)):
-        queue = [root] if left[root] else []
+    for root in np.flatnonzero(~named).tolist():
+        queue, met = [root] if left[root] else [], set()
         left[root] = False
         while queue:
             at = queue.pop()
@@ -211,42 +216,78 @@ def similar(own: list[np.ndarray], least: float) -> list[tuple[int, int]]:
             common = np.add.reduceat(have[codes], starts, dtype=np.int64)
             have[mine] = 0
             near = index[(common >= least * (sizes + len(mine) - common) - 1e-9) & left[index]]
-            left[near] = False
-            queue.extend(near.tolist())
-            edges.extend((root, i) for i in near.tolist())
+            free = near[~named[near]].tolist()
+            left[free] = False
+            queue.extend(free)
+            edges.extend((root, i) for i in free)
+            for i in near[named[near]].tolist():
+                if names[i] not in met:
+                    met.add(names[i])
+                    edges.append((root, i))
     return edges
 
 
-def exact_links(sets: DataFrame, least: float, limit: int = 1 << 18) -> DataFrame:
-    """(a, b): links of similarity least or more that connect what the sets of one label connect. sets: label, node, own.
-
-    A label of over limit hashes is cut into chunks and each pair of chunks is a unit of its own, so that no task holds more
-    than about limit hashes and two sets at once, and no pair is left out.
-    """
-    weights = sets.groupBy("label").agg(F.sum(F.size("own")).alias("w"))
-    units = parted(sets, weights, "label", "node", "w", limit)
+def _linked(units: DataFrame, least: float) -> DataFrame:
+    """(a, b) of similar() for the rows (key, node, name, own) of each key; a node that a key has with and without a name has none."""
 
-    def links(nodes: list[int], own: list[np.ndarray]) -> list[tuple[int, int]]:
-        return [(nodes[i], nodes[j]) for i, j in similar(own, least)] if len(nodes) > 1 else []
+    def links(nodes: list[int], names: list[int | None], own: list[np.ndarray]) -> list[tuple[int, int]]:
+        return [(nodes[i], nodes[j]) for i, j in similar(own, least, names)] if len(nodes) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, nodes, own, found = None, [], [], []
+        unit, nodes, names, own, found = None, [], [], [], []
         for batch in batches:
-            ends = np.asarray(batch.column(2).offsets)
-            flat = batch.column(2).values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for i, (key, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            ends = np.asarray(batch.column(3).offsets)
+            flat = batch.column(3).values.to_numpy(zero_copy_only=False).view(np.uint64)
+            for i, (key, node, name) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)])):
                 if key != unit:
-                    found += links(nodes, own)
-                    unit, nodes, own = key, [], []
+                    found += links(nodes, names, own)
+                    unit, nodes, names, own = key, [], [], []
                 if not nodes or node != nodes[-1]:
                     nodes.append(node)
+                    names.append(name)
                     own.append(flat[ends[i] : ends[i + 1]].copy())
             if len(found) > 10_000:
                 yield _pairs(found)
                 found = []
-        yield _pairs(found + links(nodes, own))
+        yield _pairs(found + links(nodes, names, own))
+
+    rows = units.select("key", "node", "name", "own").repartition("key").sortWithinPartitions("key", "node", F.col("name").asc_nulls_first())
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
 
-    return units.select("key", "node", "own").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
+def exact_links(sets: DataFrame, least: float, limit: int = 1 << 18) -> DataFrame:
+    """(a, b): links of similarity least or more that connect what the sets of one label connect. sets: label, node, own.
+
+    A label of over limit hashes is cut into chunks, so that no task holds more than about limit hashes and two sets at
+    once. Chunks are linked by themselves first, which gives components their names. The largest of a label is its core, of which nothing
+    is compared with itself again; only what is not in it is compared with every chunk, and gives one link to each component.
+    So a group that is mostly one component is linear work, and no pair is left out.
+    """
+    root = F.lit(None).cast("long").alias("name")
+    parts = lambda w: F.ceil(w * 2 / F.lit(limit)).cast("long")
+    chunk = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n)
+    whole = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    weights = sets.groupBy("label").agg(F.sum(F.size("own")).alias("w")).where(F.col("w") > limit)
+    weights = written(weights.select(F.col("label").alias("of"), parts(F.col("w")).alias("parts")).repartition(8), "crowded")
+    if weights.isEmpty():
+        return _linked(sets.select(F.col("label").alias("key"), "node", root, "own"), least)
+    hot = small(weights)
+    cold = sets.join(hot, F.col("label") == F.col("of"), "left_anti").select(F.col("label").alias("key"), "node", root, "own")
+    big = sets.join(hot, F.col("label") == F.col("of")).select("label", "node", "own", "parts", chunk(F.col("parts"), 0).alias("chunk"))
+    within = written(_linked(cold.unionByName(big.select(F.xxhash64("label", "chunk").alias("key"), "node", root, "own")), least), "within")
+
+    names = connected_components(within).select(F.col("node").alias("one"), F.col("label").alias("name"))
+    named = big.join(names, F.col("node") == F.col("one"), "left").withColumn("name", F.coalesce("name", "node")).drop("one")
+    named = written(named, "named")
+    counts = named.groupBy("label", "name").agg(F.count("*").alias("n"), F.sum(F.size("own")).alias("w"))
+    core = counts.groupBy("label").agg(F.max_by("name", F.struct("n", "name")).alias("core"), F.sum("w").alias("all"), F.max_by("w", F.struct("n", "name")).alias("held"))
+    core = written(core.select(F.col("label").alias("of"), "core", parts(F.col("all") - F.col("held")).alias("rests")).repartition(8), "core")
+    named = named.join(small(core), F.col("label") == F.col("of"))
+    rest = named.where("name != core").withColumn("l", chunk(F.col("rests"), 1)).withColumn("c", F.explode(whole(F.col("parts"))))
+    others = named.where("rests > 0").withColumn("l", F.explode(whole(F.col("rests")))).withColumn("c", F.col("chunk"))
+    key = F.xxhash64("label", "l", "c").alias("key")
+    across = _linked(rest.select(key, "node", root, "own").unionByName(others.select(key, "node", "name", "own")), least)
+    return within.unionByName(across).distinct()
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -270,8 +311,9 @@ def grouped(docs: DataFrame, row: str, least: float = 0.8, width: int = 5, crowd
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in batch.column(2)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], ["label", "node", "own"])
+            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                own = pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in part.column(2)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), own], ["label", "node", "own"])
 
     own = written(texts.mapInArrow(tidy(sets), "label long, node long, own array<long>"), "sets")
     labels = connected_components(written(exact_links(own, least, limit), "links"))
