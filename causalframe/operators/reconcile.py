@@ -75,17 +75,10 @@ def merge_carts(versions: DataFrame) -> DataFrame:
 
 
 def stale(current: DataFrame, latest: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The rows of latest that no row of current, of the same key, is equal to or after.
-
-    Replicas mostly have the same clocks: those are found by equality first, and only what is left is compared in pairs,
-    where the sums allow it.
-    """
+    """The rows of latest that no row of current, of the same key, is equal to or after. Clocks are compared only where their sums allow it."""
     by = by or ["key"]
-    have = current.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("versions").alias("_have"), clock.render(F.col("versions")).alias("_text"), clock.total(F.col("versions")).alias("_more"))
-    rows = latest.withColumn("_clock", clock.render(F.col("versions"))).withColumn("_total", clock.total(F.col("versions")))
-    same = F.lit(True)
+    have = current.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("versions").alias("_have"), clock.total(F.col("versions")).alias("_more"))
+    cond = (F.col("_more") >= F.col("_total")) & clock.covers(F.col("_have"), F.col("versions"))
     for c in by:
-        same &= F.col(c) == F.col(f"_{c}")
-    left = rows.join(have.select(*[f"_{c}" for c in by], "_text"), same & (F.col("_clock") == F.col("_text")), "left_anti")
-    kept = left.join(have, same & (F.col("_more") >= F.col("_total")) & clock.covers(F.col("_have"), F.col("versions")), "left_anti")
-    return kept.select(*latest.columns)
+        cond &= F.col(c) == F.col(f"_{c}")
+    return latest.withColumn("_total", clock.total(F.col("versions"))).join(have, cond, "left_anti").select(*latest.columns)
