@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from causalframe.functions import clock
 from causalframe.functions.predicates import not_dead
 from causalframe.operators.reconcile import contexts, reconcile
+from causalframe.sources.shared import saved
 
 
 def first_responses(responses: DataFrame, r: int) -> DataFrame:
@@ -23,16 +24,34 @@ def read_status(responses: DataFrame, r: int) -> DataFrame:
     return counts.withColumn("status", status)
 
 
+def reads(responses: DataFrame, r: int) -> DataFrame:
+    """req_id and asked of requests that reached r answers: the keys and nodes that answered, sorted."""
+    used = first_responses(responses, r).where("req_id is not null")
+    return used.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("key", "node_id"))).alias("asked")).where(F.size("asked") == r)
+
+
+def read_sets(asked: DataFrame, replicas: DataFrame, dedupe: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(surviving versions by asked, contexts by asked) of each different set of asked: requests that ask the same read the same.
+
+    First each replica's versions of a key are reconciled by themselves, as what one of them drops no set can bring back;
+    only those are put together. The survivors' clocks have the greatest counters of all that they dominate.
+    """
+    sets = asked.select("asked").distinct().select("asked", F.explode("asked").alias("_of")).select("asked", "_of.*")
+    wanted = replicas.join(sets.select("key", "node_id").distinct(), ["key", "node_id"], "left_semi")
+    held = saved(reconcile(wanted, ["key", "node_id"]), "held")
+    got = saved(reconcile(sets.join(held, ["key", "node_id"]), ["asked"], dedupe), "read")
+    return got, contexts(got, "asked")
+
+
 def read(responses: DataFrame, replicas: DataFrame, r: int, dedupe: bool = False) -> tuple[DataFrame, DataFrame]:
     """(surviving versions by req_id and key, contexts by req_id) of requests that reached r answers.
 
-    replicas: node_id and versions. Two replicas in step give each version twice, unless dedupe.
+    replicas: node_id and versions. Two replicas in step give each version twice, unless dedupe. Every request has rows of
+    its own: read_sets() gives those of the different sets of replicas alone.
     """
-    used = first_responses(responses, r)
-    enough = used.where(F.col("place") == r).select("req_id")
-    used = used.join(enough, "req_id", "left_semi").select("req_id", "key", "node_id")
-    got = used.join(replicas, ["key", "node_id"])
-    return reconcile(got, ["req_id"], dedupe), contexts(got, "req_id")
+    asked = saved(reads(responses, r), "asked")
+    got, context = read_sets(asked, replicas, dedupe)
+    return asked.join(got, "asked").select("key", "node_id", "req_id", *[c for c in replicas.columns if c not in ("key", "node_id")]), asked.join(context, "asked").select("req_id", "context")
 
 
 def divergence(survivors: DataFrame, by: str = "req_id") -> DataFrame:
